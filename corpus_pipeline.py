@@ -1,13 +1,32 @@
-"""The corpus pipeline: documents to packed training sequences, stage by stage."""
+"""The corpus pipeline: documents to packed training sequences, stage by stage.
+
+Each stage gets all that its predecessor kept, and its decisions take effect:
+toxic documents, documents of no known language, all but one of each group of
+near-duplicates (five-word shingles, similarity 0.8 or more) and documents that
+hold benchmark items go; what is left is packed into sequences. All stages but
+the last return the columns of documents.
+
+Rows with a null id are judged by their text and never dropped for an id. Of
+rows that repeat an id, the near-duplicate stage keeps one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import language_id, toxicity
+from folioforge.llm import decontam, language_id, minhash, packing, token_count, toxicity
 from folioforge.llm.workspace import Workspace
 
+#: Lists of ids up to this many (8 bytes each) are sent to every executor; longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't among ``ids`` (a saved table of one column)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents scored 0.5 or more go."""
@@ -16,7 +35,46 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("predicted") == 0).select(docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents without letters, or below the calibrated limits for every language, go."""
+    return language_id.identify(docs, keep=tuple(docs.columns)).filter(~F.col("rejected")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each group of near-duplicates the document with the least id stays."""
+    ws = Workspace(spark, "pipeline-near")
+    found = minhash.near_duplicates(docs, ws, k=5, percent=80)
+    gone = ws.save(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    repeated = ws.save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    kept = _without(docs, gone)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return _without(kept, repeated).unionByName(once)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    ws = Workspace(spark, "pipeline-leaks")
+    return _without(docs, ws.save(decontam.find_leaks(docs, items).select("doc_id").distinct(), "leaks"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: token counts, then best-fit packing; one row per piece of a document."""
+    counted = token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(counted, Workspace(spark, "pipeline-pack"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
+
+#: No SQL: the classifiers are fitted and the packing is a fold. The tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 

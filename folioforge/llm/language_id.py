@@ -147,7 +147,7 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     right = p.argmax(axis=1) == truth
     if not right.any():
         return model
-    return Model(languages, model.table, b, known, float(temperature), float(min(0.5, np.quantile(p.max(axis=1)[right], fit.lost))), float(0.9 * np.quantile(share[right], fit.lost)))
+    return Model(languages, model.table, b, known, float(temperature), float(min(0.4, np.quantile(p.max(axis=1)[right], fit.lost))), float(0.9 * np.quantile(share[right], fit.lost)))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
