@@ -37,8 +37,8 @@ SIZES = (3, 4, 5, 6)
 class Fit:
     """Bounds of the sample and of the regression."""
 
-    toxic_rows: int = 4000
-    other_rows: int = 8000
+    toxic_rows: int = 3000
+    other_rows: int = 6000
     max_chars: int = 20_000  # longer texts aren't sampled, so that the sample is bounded
     features: int = 60_000
     least_ratio: float = 12.0  # of the likelihood-ratio test
@@ -67,14 +67,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return [t for t, _ in out], np.array([y for _, y in out], np.float64)
 
 
-def grams(texts: list[str]) -> list[np.ndarray]:
-    """Distinct buckets of each text."""
-    out = []
-    for t in texts:
-        points, offsets, _ = normal_points([t], digits=True)
-        at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
-        out.append(np.unique(at[at < 1 << BITS]))
-    return out
+def grams(text: str) -> np.ndarray:
+    """Distinct buckets of a text."""
+    points, offsets, _ = normal_points([text], digits=True)
+    at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
+    return np.unique(at[at < 1 << BITS])
 
 
 def train(texts: list[str], y: np.ndarray, fit: Fit) -> Model | None:
@@ -82,11 +79,10 @@ def train(texts: list[str], y: np.ndarray, fit: Fit) -> Model | None:
     toxic, other = y.sum(), len(y) - y.sum()
     if not toxic or not other:
         return None
-    sets = grams(texts)
     size = 1 << BITS
     p, q = np.zeros(size), np.zeros(size)
-    for at, label in zip(sets, y, strict=True):
-        (p if label else q)[at] += 1
+    for text, label in zip(texts, y, strict=True):
+        (p if label else q)[grams(text)] += 1
     a = fit.smoothing
     ratio = np.log((p + a) / (toxic + 2 * a)) - np.log((q + a) / (other + 2 * a))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -98,8 +94,8 @@ def train(texts: list[str], y: np.ndarray, fit: Fit) -> Model | None:
     place = np.full(size + 1, -1)
     place[chosen] = np.arange(len(chosen))
     r = ratio[chosen]
-    cols = [place[at] for at in sets]
-    cols = [c[c >= 0] for c in cols]
+    # made again rather than kept: all n-grams of the sample would not fit a small driver
+    cols = [(c := place[grams(text)])[c >= 0] for text in texts]
     row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
     col = np.concatenate(cols).astype(np.int64)
     value = r[col]
