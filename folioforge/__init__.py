@@ -1,3 +1,10 @@
 """folioforge: a Spark-native engine that turns documents into a cross-linked, cited wiki."""
 
+from folioforge.config import TreeConfig
+from folioforge.operators.wiki import save_files, unified_index, wiki_files
+from folioforge.plans.backends import HttpBackend
+from folioforge.plans.engine import Build, Wiki, WikiEngine
+from folioforge.sources.pages import from_text, from_texts, read_binary, read_text_files
+
 __version__ = "0.1.0"
+__all__ = ["Build", "HttpBackend", "TreeConfig", "Wiki", "WikiEngine", "from_text", "from_texts", "read_binary", "read_text_files", "save_files", "unified_index", "wiki_files"]

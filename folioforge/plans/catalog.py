@@ -1,10 +1,545 @@
-"""All registered queries of the wiki engine with their SQL equivalents."""
+"""All registered queries of the wiki engine.
+
+Inputs: documents, cut into pages of 100 words; conversations as documents with
+ready-made pages (turns) and sections (user turns are chapters). Every query
+covers its whole tables. Their SQL is in ``oracle``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.config import TreeConfig
+from folioforge.functions import text as T
+from folioforge.operators import ask as A
+from folioforge.operators import concepts as C
+from folioforge.operators import expand, render, sections, summarize, tree, verify, wiki
+from folioforge.plans import oracle
+from folioforge.plans.storage import checkpointed
+from folioforge.sources import pages as sources
+
+WORDS_PER_PAGE = 100
+GROUP = TreeConfig(max_tokens_per_group=600)
+LARGE = TreeConfig(max_pages_per_node=2, max_tokens_per_node=300)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    """Register a query; whole numbers come out as bigint."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*(F.col(n).cast("bigint") if t == "int" else F.col(n) for n, t in df.dtypes))
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("doc_name"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return sources.from_text(_docs(spark, d), WORDS_PER_PAGE)
+
+
+def _totals(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
+
+
+def _flat(spark: SparkSession, d: str) -> DataFrame:
+    return sections.with_preface(sections.with_fallback(sections.flat_sections(_pages(spark, d)), _docs(spark, d)))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return tree.build_tree(_flat(spark, d), _totals(_pages(spark, d)))
+
+
+def _summarised(spark: SparkSession, d: str) -> DataFrame:
+    return summarize.add_summaries(_nodes(spark, d), _pages(spark, d))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).drop("text")
+    return docs.join(summarize.descriptions(_summarised(spark, d), docs), "doc_id")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of conversations."""
+    return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("content"), "role")
+
+
+def _chapters(spark: SparkSession, d: str, shift: int = 1) -> DataFrame:
+    """Sections of conversations: user turns, and below them the turns that follow; stated pages are off by up to ``shift`` - 1."""
+    w = Window.partitionBy("doc_id").orderBy("page")
+    rows = _turns(spark, d).withColumn("k", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    rows = rows.withColumn("j", F.sum(F.when(F.col("role") == "user", 0).otherwise(1)).over(Window.partitionBy("doc_id", "k").orderBy("page")))
+    number = F.when(F.col("role") == "user", F.col("k").cast("string")).otherwise(F.concat_ws(".", F.col("k").cast("string"), F.col("j").cast("string")))
+    title = F.array_join(F.slice(F.split("content", " "), 1, 4), " ")
+    return rows.select("doc_id", F.col("page").alias("ord"), number.alias("structure"), title.alias("title"), (F.col("page") + F.col("page") % shift).cast("int").alias("physical_index"))
+
+
+def _conversation_tree(spark: SparkSession, d: str) -> DataFrame:
+    return tree.build_tree(_chapters(spark, d), _totals(_turns(spark, d)))
+
+
+def _path(name: str = "path") -> Column:
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), "/").alias(name)
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return C.concept_plan(docs, C.term_scores(docs))
+
+
+def _concept_pages(spark: SparkSession, d: str) -> DataFrame:
+    plan = checkpointed(_plan(spark, d))
+    return C.concept_pages(plan, _docs(spark, d), C.known_targets(plan))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """A page specification for each document."""
+    page = (F.col("doc_id") % 3 + 1).cast("string")
+    spec = F.when(F.col("doc_id") % 4 == 0, F.concat(page, F.lit("-4, 2,x,5-3"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("1,"), page)).when(F.col("doc_id") % 4 == 2, "900, -2").otherwise("2-3,+1")
+    return _docs(spark, d).select(F.col("doc_id").alias("q_id"), "doc_name", spec.alias("pages"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer with citations for each document."""
+    n = F.col("doc_id")
+    text = F.concat(F.lit("A. \\source{doc_"), n.cast("string"), F.lit(", p."), (n % 5 + 1).cast("string"), F.lit("} B. \\source{doc_"), (n + n % 2).cast("string"), F.lit(", p.1-2, p."), (n % 7).cast("string"), F.lit("} C. \\source{doc_9}"))
+    return _docs(spark, d).select(n.alias("q_id"), text.alias("answer"))
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """The page tool calls that go with the requests, and one call of another tool each."""
+    rows = _requests(spark, d)
+    page = rows.select("q_id", F.lit(1).alias("call_ord"), F.lit("get_page_content").alias("tool_name"), F.create_map(F.lit("doc_name"), F.col("doc_name"), F.lit("pages"), F.col("pages")).alias("tool_args"))
+    other = rows.select("q_id", F.lit(0).alias("call_ord"), F.lit("read_file").alias("tool_name"), F.create_map(F.lit("path"), F.lit("index.md")).alias("tool_args"))
+    return page.unionByName(other)
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+# --- sources and groups -------------------------------------------------------
+
+
+@query
+def split_pages(spark, d):
+    return _pages(spark, d)
+
+
+@query
+def token_counts(spark, d):
+    return _pages(spark, d).select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
+
+
+@query
+def page_texts(spark, d):
+    turns = _turns(spark, d)
+    items = F.transform(F.split("content", "\n"), lambda x: F.struct(x.alias("text")))
+    return turns.select("doc_id", "page", sources.page_text(F.when(F.col("role") == "user", F.col("content")), items).alias("content"))
+
+
+@query
+def texts_as_pages(spark, d):
+    turns = _turns(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda x: x["content"]).alias("texts"))
+    return sources.from_texts(turns)
+
+
+@query
+def tag_pages(spark, d):
+    return sections.tag_pages(_pages(spark, d))
+
+
+@query
+def group_pages(spark, d):
+    pages = _pages(spark, d)
+    counts = pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
+    return sections.group_ranges(counts, GROUP.max_tokens_per_group, GROUP.page_overlap)
+
+
+@query
+def group_texts(spark, d):
+    pages = _pages(spark, d)
+    counts = pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
+    return sections.group_pages(pages, sections.group_ranges(counts, GROUP.max_tokens_per_group, GROUP.page_overlap))
+
+
+@query
+def section_budget(spark, d):
+    return group_pages(spark, d).groupBy("doc_id").agg(F.count("*").alias("groups")).select("doc_id", "groups", sections.section_budget(20, F.col("groups")).alias("budget"))
+
+
+@query
+def flat_sections(spark, d):
+    return sections.flat_sections(_pages(spark, d))
+
+
+@query
+def flat_sections_grouped(spark, d):
+    return sections.flat_sections(_pages(spark, d), GROUP)
+
+
+@query
+def fallback_sections(spark, d):
+    return sections.with_fallback(sections.flat_sections(_pages(spark, d)), _docs(spark, d))
+
+
+@query
+def preface(spark, d):
+    return _flat(spark, d)
+
+
+# --- verification and repair --------------------------------------------------
+
+
+@query
+def verify_sections(spark, d):
+    return verify.verify_sections(_chapters(spark, d, 3), _turns(spark, d)).select("doc_id", "ord", "physical_index", "ok")
+
+
+@query
+def search_window(spark, d):
+    checked = verify.verify_sections(_chapters(spark, d, 3), _turns(spark, d))
+    return verify.search_windows(checked, _totals(_turns(spark, d)), 2).filter(~F.col("ok")).select("doc_id", "ord", "physical_index", "win_start", "win_end")
+
+
+@query
+def fix_sections(spark, d):
+    turns = _turns(spark, d)
+    return verify.verify_and_fix(_chapters(spark, d, 3), turns, _totals(turns)).select("doc_id", "ord", "physical_index", "ok")
+
+
+# --- tree ---------------------------------------------------------------------
+
+
+@query
+def end_index_lead(spark, d):
+    return tree.end_indices(_chapters(spark, d), _totals(_turns(spark, d))).select("doc_id", "ord", "start_index", "end_index")
+
+
+@query
+def tree_parent(spark, d):
+    return tree.parents(_chapters(spark, d)).select("doc_id", "ord", "structure", "parent_ord")
+
+
+@query
+def tree_parent_three_levels(spark, d):
+    """Region, nation and customer as sections of one document per region."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    r, n, c = t("region"), t("nation"), t("customer")
+    top = r.select(F.col("r_regionkey").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit("1").alias("structure"))
+    mid = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), F.col("n_nationkey").cast("bigint") + 1, F.lit(0).cast("bigint"), F.concat(F.lit("1."), F.col("n_nationkey").cast("string")))
+    low = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("bigint"), F.col("n_nationkey").cast("bigint") + 1, F.col("c_custkey"), F.concat(F.lit("1."), F.col("n_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string")))
+    rows = top.union(mid).union(low)
+    rows = rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b")).alias("ord"), "structure")
+    return tree.parents(rows)
+
+
+@query
+def tree_end_index(spark, d):
+    return _conversation_tree(spark, d).select("doc_id", "ord", "depth", "tree_depth", "start_index", "end_index")
+
+
+@query
+def tree_preorder(spark, d):
+    rows = _conversation_tree(spark, d)
+    return rows.select("doc_id", "ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).alias("pre"), _path())
+
+
+@query
+def tree_text(spark, d):
+    return tree.tree_text(_conversation_tree(spark, d))
+
+
+@query
+def tree_json(spark, d):
+    return tree.node_json(_conversation_tree(spark, d))
+
+
+# --- expansion ----------------------------------------------------------------
+
+
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as one section."""
+    docs, pages = _docs(spark, d), _pages(spark, d)
+    one = docs.join(_totals(pages), "doc_id", "left_semi").select("doc_id", F.lit(1).alias("ord"), F.lit("1").alias("structure"), F.col("doc_name").alias("title"), F.lit(1).alias("physical_index"))
+    return tree.build_tree(one, _totals(pages))
+
+
+@query
+def large_nodes(spark, d):
+    counts = _pages(spark, d).select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
+    return expand.large_nodes(_coarse(spark, d), counts, LARGE).select("doc_id", _path(), "start_index", "end_index")
+
+
+@query
+def expand_nodes(spark, d):
+    pages = checkpointed(_pages(spark, d))
+    out = expand.expand_large_nodes(_coarse(spark, d), pages, _totals(pages), LARGE)
+    return out.select("doc_id", _path(), "depth", "tree_depth", "title", "start_index", "end_index")
+
+
+# --- summaries and rendering --------------------------------------------------
+
+
+@query
+def section_text(spark, d):
+    return summarize.section_text(_nodes(spark, d), _pages(spark, d), 300).select("doc_id", _path(), "text")
+
+
+@query
+def section_summaries(spark, d):
+    return _summarised(spark, d).select("doc_id", _path(), "title", "summary")
+
+
+@query
+def doc_description(spark, d):
+    return _described(spark, d).select("doc_id", "description")
+
+
+@query
+def sources_json(spark, d):
+    return render.sources_json(_pages(spark, d))
+
+
+@query
+def summary_md(spark, d):
+    return render.summary_pages(_summarised(spark, d), _docs(spark, d))
+
+
+# --- concepts -----------------------------------------------------------------
+
+
+@query
+def concept_plan(spark, d):
+    return _plan(spark, d).drop("tf")
+
+
+@query
+def known_targets(spark, d):
+    rows = C.known_targets(_plan(spark, d))
+    return rows.select("doc_id", C.known_targets_text(F.col("targets")).alias("targets"))
+
+
+@query
+def strip_ghost_links(spark, d):
+    docs = _docs(spark, d)
+    text = F.concat(F.lit("see [[concepts/"), F.col("doc_name"), F.lit("]] and [[concepts/b]] or [[a|b]] and [[summaries/"), F.col("doc_name"), F.lit("]]"))
+    return docs.select("doc_id", T.strip_ghost_links(text, F.array(F.concat(F.lit("summaries/"), F.col("doc_name")), F.when(F.col("doc_id") % 2 == 0, F.lit("concepts/b")).otherwise(F.lit("concepts/c")))).alias("text"))
+
+
+@query
+def strip_ghosts(spark, d):
+    docs = _docs(spark, d)
+    text = F.concat(F.lit("[[concepts/x"), (F.col("doc_id") % 5).cast("string"), F.lit("]] [[concepts/x"), (F.col("doc_id") % 7).cast("string"), F.lit("]] [[summaries/"), F.col("doc_name"), F.lit("]]"))
+    pages = docs.select("doc_id", F.lit(1).alias("gen_ord"), text.alias("content"))
+    own = docs.select("doc_id", F.array(F.concat(F.lit("summaries/"), "doc_name")).alias("targets"))
+    shared = docs.filter("doc_id < 3").select(F.concat(F.lit("concepts/x"), F.col("doc_id").cast("string")).alias("target"))
+    return C.strip_ghosts(pages, own, shared)
+
+
+@query
+def concept_pages(spark, d):
+    return _concept_pages(spark, d)
+
+
+@query
+def concept_last_wins(spark, d):
+    """Turns as pages of a conversation's concepts, named by role."""
+    rows = _turns(spark, d).select("doc_id", F.concat(F.lit("conv_"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("page").alias("gen_ord"), F.col("role").alias("slug"), F.substring("content", 1, 20).alias("brief"), "content")
+    return C.last_wins(rows)
+
+
+@query
+def concept_first_wins(spark, d):
+    return C.first_wins(C.last_wins(_concept_pages(spark, d))).select("slug", "doc_id", "brief")
+
+
+@query
+def related_minus_concepts(spark, d):
+    plan = checkpointed(_plan(spark, d))
+    return C.related_minus_concepts(plan, C.last_wins(C.concept_pages(plan, _docs(spark, d), C.known_targets(plan))))
+
+
+@query
+def document_index(spark, d):
+    return C.document_index(_described(spark, d), C.last_wins(_concept_pages(spark, d)))
+
+
+# --- wiki ---------------------------------------------------------------------
+
+
+def _concept_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = wiki.concept_sources(C.last_wins(_concept_pages(spark, d)).withColumn("is_update", F.lit(True)))
+    return rows.select(F.concat(F.lit("concepts/"), "slug", F.lit(".md")).alias("path"), wiki.concept_file(F.col("sources"), F.col("brief"), F.col("content")).alias("content"))
+
+
+@query
+def concept_briefs(spark, d):
+    return wiki.concept_briefs(_concept_files(spark, d))
+
+
+@query
+def concept_sources_upsert(spark, d):
+    rows = wiki.concept_sources(_concept_pages(spark, d).withColumnRenamed("gen_ord", "place"))
+    return rows.select("slug", F.array_join("sources", " ").alias("sources"), "brief")
+
+
+@query
+def wiki_targets(spark, d):
+    files = _concept_files(spark, d).unionByName(_docs(spark, d).select(F.concat(F.lit("summaries/"), "doc_name", F.lit(".md")).alias("path"), F.lit("").alias("content")))
+    return wiki.targets(files)
+
+
+def _wanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    plan = checkpointed(_plan(spark, d))
+    pages = C.last_wins(C.concept_pages(plan, _docs(spark, d), C.known_targets(plan)))
+    return C.related_minus_concepts(plan, pages), pages
+
+
+@query
+def backlink_summary_missing(spark, d):
+    text = F.when(F.col("doc_id") % 2 == 0, F.lit("see [[concepts/that]]")).otherwise(F.lit(""))
+    return wiki.missing_summary_links(_docs(spark, d).select("doc_id", "doc_name", text.alias("summary_md")), _wanted(spark, d)[0])
+
+
+@query
+def backlink_concepts_missing(spark, d):
+    wanted, pages = _wanted(spark, d)
+    first = C.first_wins(pages)
+    return wiki.missing_concept_links(first, wanted, _docs(spark, d))
+
+
+@query
+def related_links(spark, d):
+    """The incremental writer's cross references on two concept pages of the test's own."""
+    docs = _docs(spark, d)
+    pages = docs.filter("doc_id < 2").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("slug"), F.when(F.col("doc_id") == 0, '---\nsources: ["summaries/doc_3.md"]\nbrief: "b"\n---\n\nbody [[summaries/doc_8]]').otherwise("plain body").alias("content"))
+    related = docs.filter("doc_id in (2, 3, 8)").select("doc_id", "doc_name", F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("slug"))
+    return wiki.see_also(pages, related)
+
+
+@query
+def index_upsert(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    rows = events.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("brief"))
+    half = F.col("seq") % 2 == 0
+    state = wiki.upsert(spark.createDataFrame([], "key string, first_seq bigint, last_seq bigint, brief string"), rows.filter(half), "key")
+    return wiki.upsert(state, rows.filter(~half), "key")
+
+
+@query
+def index_text(spark, d):
+    docs = _described(spark, d).select("doc_name", F.col("doc_id").alias("first_seq"), F.col("description").alias("brief"))
+    concepts = C.first_wins(C.last_wins(_concept_pages(spark, d)))
+    n = F.row_number().over(Window.partitionBy(F.length("slug") * 0).orderBy("slug"))
+    return wiki.index_text(docs, concepts.select("slug", n.alias("first_seq"), "brief"))
+
+
+@query
+def unified_index(spark, d):
+    return wiki.unified_index(_described(spark, d), C.first_wins(C.last_wins(_concept_pages(spark, d))))
+
+
+@query
+def linked_concepts(spark, d):
+    wanted, pages = _wanted(spark, d)
+    first = C.first_wins(pages).select("slug", "brief").select("slug", F.col("brief").alias("content"))
+    return wiki.linked_concepts(first, wanted, _docs(spark, d))
+
+
+@query
+def wiki_files(spark, d):
+    wanted, pages = _wanted(spark, d)
+    pages = checkpointed(pages)
+    docs, nodes = _described(spark, d), checkpointed(_summarised(spark, d))
+    return wiki.wiki_files(docs, render.sources_json(_pages(spark, d)), render.summary_pages(nodes, _docs(spark, d)), pages, checkpointed(wanted))
+
+
+# --- questions ----------------------------------------------------------------
+
+
+@query
+def parse_pages(spark, d):
+    return _requests(spark, d).select("q_id", "pages", F.array_join(F.transform(T.parse_pages(F.col("pages")), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query
+def page_content(spark, d):
+    pages = _pages(spark, d).join(_docs(spark, d).select("doc_id", "doc_name"), "doc_id").select("doc_name", "page", "content")
+    rows = _requests(spark, d)
+    named = rows.withColumn("doc_name", F.when(F.col("q_id") % 10 == 9, F.lit("nowhere")).otherwise(F.col("doc_name")))
+    return A.page_content(named, pages)
+
+
+@query
+def read_file(spark, d):
+    files = _docs(spark, d).select(F.concat(F.lit("summaries/"), "doc_name", F.lit(".md")).alias("path"), F.substring("text", 1, 50).alias("content"))
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("summaries/"), "doc_name", F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "doc_name")).otherwise(F.concat(F.lit("concepts/"), "doc_name", F.lit(".md")))
+    return A.read_file(_docs(spark, d).select(F.col("doc_id").alias("q_id"), path.alias("path")), files)
+
+
+@query
+def list_files(spark, d):
+    files = _docs(spark, d).select(F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string"), F.lit("/"), "doc_name", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".json")).alias("path"), F.lit("").alias("content"))
+    directory = F.concat(F.when(F.col("doc_id") == 6, "../").otherwise(""), F.lit("d"), F.col("doc_id").cast("string"))
+    return A.list_files(_docs(spark, d).filter("doc_id < 7").select(F.col("doc_id").alias("q_id"), directory.alias("directory")), files)
+
+
+@query
+def fetched_pages(spark, d):
+    return A.fetched_pages(_calls(spark, d))
+
+
+@query
+def cited_pages(spark, d):
+    return A.cited_pages(_answers(spark, d))
+
+
+@query
+def unfetched_citations(spark, d):
+    return A.unfetched_citations(A.cited_pages(_answers(spark, d)), A.fetched_pages(_calls(spark, d)))
+
+
+@query
+def rank_sections(spark, d):
+    texts = summarize.section_text(_nodes(spark, d), _pages(spark, d))
+    return A.rank_sections(_questions(spark, d), texts).select("q_id", "rank", "doc_id", _path(), "overlap")
+
+
+@query
+def answer(spark, d):
+    pages, nodes = _pages(spark, d), checkpointed(_nodes(spark, d))
+    ranked = A.rank_sections(_questions(spark, d), summarize.section_text(nodes, pages))
+    return A.answers(_questions(spark, d), ranked, nodes, pages, _docs(spark, d))
+
+
+# --- without SQL --------------------------------------------------------------
+
+
+@query
+def slug_unicode(spark, d):
+    names = _turns(spark, d).select("doc_id", "page", F.array_join(F.slice(F.split("content", " "), 1, 3), " ").alias("name"))
+    return names.select("doc_id", "page", "name", T.slug(F.col("name")).alias("slug"))
+
+
+@query
+def slug_ascii(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.slug_ascii(F.concat(F.lit(" "), "p_name", F.lit("! "))).alias("slug"))
+
+
+@query
+def normalized_text(spark, d):
+    return _turns(spark, d).select("doc_id", "page", T.normalize(F.concat(F.lit(" \n"), "content", F.lit("\t"))).alias("text"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
