@@ -9,8 +9,9 @@
    with the least class of the bucket it meets most often; (b) the other pairs of
    a class and the least of its buckets, where components still differ; (c) in
    buckets that still hold several components, the pairs between those, compared
-   by signature in tiles of bounded size and only passed on when the signatures
-   leave 0.8 possible.
+   by signature in tiles of bounded size; the members that have a pair whose
+   signatures leave 0.8 possible meet again with their full sets, and each tile
+   returns only links that join components.
 4. Every link is confirmed on the full shingle sets. Components come from
    alternating large-star and small-star.
 
@@ -184,10 +185,13 @@ def _similar(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
-def _tile_pairs(rows: dict[str, np.ndarray], left: int, right: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs between components in one tile that meet first in this band and may be similar."""
-    sig, label, ids, block, band = rows["sig"], rows["label"], rows["id"], rows["block"], int(rows["band_no"][0])
-    out_a, out_b = [], []
+TILE_KEYS = ["bucket", "left", "right"]
+
+
+def _tile_pairs(rows: dict[str, np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, equal minima) between components in one tile: pairs that meet first in this band and may be similar."""
+    sig, label, block = rows["sig"], rows["label"], rows["block"]
+    left, right, band = (int(rows[c][0]) for c in ("left", "right", "band_no"))
     cols = np.flatnonzero(block == right)
     for i in np.flatnonzero(block == left):
         js = cols[cols > i] if left == right else cols
@@ -195,49 +199,86 @@ def _tile_pairs(rows: dict[str, np.ndarray], left: int, right: int, least: int)
         if not len(js):
             continue
         same = sig[js] == sig[i]
-        js, same = js[(many := same.sum(axis=1) >= least)], same[many]
+        met = same.sum(axis=1)
+        js, same, met = js[met >= least], same[met >= least], met[met >= least]
         if band and len(js):
-            js = js[~same[:, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)]
+            new = ~same[:, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+            js, met = js[new], met[new]
         if len(js):
-            out_a.append(np.full(len(js), ids[i]))
-            out_b.append(ids[js])
-    return out_a, out_b
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, left, right) to candidate pairs; holds one tile at a time."""
-    held: pa.Table | None = None
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: t.column(c).to_numpy() for c in ("bucket", "left", "right", "id", "label", "block", "band_no")}
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        new = np.ones(len(sig) + 1, bool)
-        new[1:-1] = np.any([col[c][1:] != col[c][:-1] for c in ("bucket", "left", "right")], axis=0)
-        cuts = np.flatnonzero(new)
-        a, b = [], []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = _tile_pairs({c: v[s:e] for c, v in col.items()} | {"sig": sig[s:e]}, col["left"][s], col["right"][s], least)
-            a += x
-            b += y
-            if sum(map(len, a)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (a, b)], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z), pa.int64()) for z in (a, b)], ["a", "b"])
+            yield i, js, met
+
 
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tiles of rows sorted by tile; holds one batch and one tile at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        last = [held.column(c)[-1].as_py() for c in ("bucket", "left", "right")]
-        same = np.all([held.column(c).to_numpy() == v for c, v in zip(("bucket", "left", "right"), last, strict=True)], axis=0)
-        cut = int(np.argmax(same))
-        if cut:
-            yield from pairs(held.slice(0, cut).combine_chunks())
-            held = held.slice(cut)
-    if held is not None:
-        yield from pairs(held.combine_chunks())
+        keys = [batch.column(c).to_numpy() for c in TILE_KEYS]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+            key = tuple(int(k[a]) for k in keys)
+            if held and key != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    out = {c: t.column(c).to_numpy() for c in (*TILE_KEYS, "id", "label", "block", "band_no")}
+    return out | {"sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)}
+
+
+def _active(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that have a pair to be confirmed: at most the rows it came with."""
+    for t in _by_tile(batches):
+        if t.num_rows < 2:
+            continue
+        use = np.zeros(t.num_rows, bool)
+        for i, js, _ in _tile_pairs(_columns(t), least):
+            use[i] = True
+            use[js] = True
+        if use.any():
+            yield from t.filter(pa.array(use)).to_batches()
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each tile that join components, fewer than its rows; likely pairs are tried first."""
+    for t in _by_tile(batches):
+        rows = _columns(t)
+        found = list(_tile_pairs(rows, least))
+        if not found:
+            continue
+        a = np.concatenate([np.full(len(js), i) for i, js, _ in found])
+        b, met = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        sets = [s.values.to_numpy() for s in t.column("shingles").chunk(0)]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        u, v = [], []
+        for k in np.argsort(-met, kind="stable"):
+            i, j = int(a[k]), int(b[k])
+            x, y = find(int(rows["label"][i])), find(int(rows["label"][j]))
+            if x == y:
+                continue
+            s, o = sets[i], sets[j]
+            if 100 * min(len(s), len(o)) < percent * max(len(s), len(o)):
+                continue
+            common = len(np.intersect1d(s, o, assume_unique=True))
+            if 100 * common >= percent * (len(s) + len(o) - common):
+                root[max(x, y)] = min(x, y)
+                u.append(int(rows["id"][i]))
+                v.append(int(rows["id"][j]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,10 +333,10 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     tile = tile.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tile = tile.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band_no", "id", "label", "block", "sig")
-    keys = ["bucket", "left", "right"]
-    pairs = tile.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lambda it: _tiles(it, least), "a bigint, b bigint")
-    pairs = ws.save(pairs, "pairs-c")
-    more = ws.save(_confirm(pairs, sets, percent), "links-c")
+    kind = "bucket bigint, left int, right int, band_no int, id bigint, label bigint, block int, sig binary"
+    active = ws.save(tile.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id").mapInArrow(lambda it: _active(it, least), kind), "active")
+    full = active.join(sets, "id").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id")
+    more = ws.save(full.mapInArrow(lambda it: _tile_links(it, least, percent), "u bigint, v bigint"), "links-c")
     star_edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
     if not more.isEmpty():
         labels = ws.save(connected_components(star_edges.unionByName(more), ws), "labels-c")
