@@ -57,7 +57,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ws = Workspace(spark, "pipeline-leaks")
-    return _without(docs, ws.save(decontam.find_leaks(docs, items).select("doc_id").distinct(), "leaks"))
+    return _without(docs, ws.save(decontam.find_leaks(docs, items, ws).select("doc_id").distinct(), "leaks"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

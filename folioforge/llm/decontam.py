@@ -23,9 +23,11 @@ the highest coverage, the earliest among equals); other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.workspace import Workspace
+
 WINDOW = 8
 SHORTEST = 4
 BROADCAST_WINDOWS = 2_000_000
@@ -70,10 +72,10 @@ def windows(words: Column, size: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size)), F.lit(size)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that it holds: (doc_id, item_id, n_windows, n_matched, coverage, first_word, n_slots, n_changed, kind)."""
     asked = items.select(F.col(item_col).alias("item_id"), template_words(F.col(item_text_col)).alias("w"), template_slots(F.col(item_text_col)).alias("iv")).filter(F.col("item_id").isNotNull() & (F.size("w") >= SHORTEST)).dropDuplicates(["item_id"])
-    asked = asked.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
+    asked = ws.save(asked.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))), "items")
     sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # SHORTEST to WINDOW: five at most
 
     def at_size(words: Column, size: int) -> Column:
@@ -87,6 +89,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col:
     wanted = empty
     for p in parts:
         wanted = wanted.unionByName(p.select("item_id", "size", F.col("x.h").alias("h"), F.col("x.i").alias("ipos")))
+    wanted = ws.save(wanted, "wanted")
     total = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     few = wanted.count() <= BROADCAST_WINDOWS
 
@@ -100,7 +103,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col:
     for n in sizes:
         shift = F.when(F.col("size") == n, ahead).otherwise(shift)
         ahead = ahead + F.greatest(F.col("n") - n + 1, F.lit(0))
-    met = met.select("doc_id", "item_id", "ipos", (F.col("at") - shift).alias("dpos")).distinct()
+    met = met.select("doc_id", "item_id", "ipos", (F.col("at") - shift).alias("dpos"))
+    # written once: all that follows works on these few rows, and the texts are not canonicalised again
+    met = ws.save(met.distinct(), "met")
     lines = met.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("off")).agg(F.count("*").alias("k"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_matched"))
     best = lines.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("off", "lo", "hi"), F.struct("k", -F.col("off"))).alias("line"))
@@ -111,7 +116,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = 0.5, id_col:
     slots = F.filter("iv", lambda v: v.isNotNull())
     with_slots = asked.select("item_id", "iv", "size", (F.size(slots) > 0).alias("has"))
     pairs = pairs.join(F.broadcast(with_slots) if few else with_slots, "item_id")
+    pairs = ws.save(pairs, "pairs")
     concerned = pairs.filter("has").select("doc_id").distinct()
+    if concerned.isEmpty():
+        texts = texts.limit(0)
     values = texts.join(concerned, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", template_slots(F.col("text")).alias("dv"))
     pairs = pairs.join(values, "doc_id", "left")
     span = F.sequence(F.col("line.lo"), F.col("line.hi") + F.col("size") - 1)
