@@ -1,14 +1,14 @@
 """License scan by a positional index of rare licence words, in DataFrame functions only.
 
 Each template is a notice with a mandatory key phrase. Only the words of key
-phrases are indexed; a text without any of them can hold no key phrase, so one
-cheap test settles most texts, and document frequencies counted over the others
-are those over all texts. Each template is looked up by its anchor, the word of
-its key phrase with the highest inverse document frequency in these texts.
-Every posting of an anchor proposes one placement of its template; the indexed
-words of the key phrase must then stand at their relative positions, and the
-whole key phrase is verified word by word. The score of a placement is the share
-of the template's words that stand in place.
+phrases are indexed. A few of them cover all key phrases; a text without any of
+those can hold no key phrase, so one cheap test settles most texts. Each template
+is looked up by its anchor, the word of its key phrase with the highest inverse
+document frequency over all texts (counted by containment). Every posting of an
+anchor proposes one placement of its template; the indexed words of the key
+phrase must then stand at their relative positions, and the whole key phrase is
+verified word by word. The score of a placement is the share of the template's
+words that stand in place.
 
 Words are maximal runs of characters other than ASCII controls, punctuation and
 space, after A-Z in lower case; positions count from 0.
@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# The same for texts in any case, as a list of single characters: the JVM makes a bit set of those,
+# where ranges are tried one after another.
+_GAP = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD_ANY_CASE = f"[^{_GAP}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,6 +70,15 @@ TEMPLATES = [
     template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
+def triggers(templates: list[Template]) -> list[str]:
+    """A few indexed words of which every key phrase has one: again and again the word that most of the phrases left share."""
+    left, out = [[w for w in t.key if w not in COMMON] for t in templates], []
+    while left:
+        out.append(max(sorted({w for k in left for w in k}), key=lambda w: (sum(w in k for k in left), len(w))))
+        left = [k for k in left if out[-1] not in k]
+    return out
+
+
 #: Words too common to be indexed; every key phrase has others.
 COMMON = frozenset("a and any by for free in is of or the this to use under with public general software source forms charge copy work 0 2 3 4".split())
 
@@ -120,14 +132,21 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, id_col: str =
     index = indexed_words(templates)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    folded = F.lower(text)
-    maybe = folded.contains(index[0])
-    for w in index[1:]:
-        maybe = maybe | folded.contains(w)
-    # document frequency of each indexed word, over all texts
-    seen = rows.filter(maybe).select(F.explode(F.array_intersect(F.array_distinct(words_of(text)), F.array(*map(F.lit, index)))).alias("w"))
-    df = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
+    def mentions(t: Column) -> Column:
+        any_of = F.lit(False)
+        for w in triggers(templates):
+            # a short word is part of many others: look at its surroundings, where it occurs at all
+            whole = t.rlike(rf"(?<![^{_GAP}]){w}(?![^{_GAP}])") if len(w) < 6 else F.lit(True)
+            any_of = any_of | (t.contains(w) & whole)
+        return any_of
+
+    # bound to a lambda's variable, the text in lower case is made once and not once for each word
+    maybe = F.exists(F.array(F.lower(text)), mentions)
+    # document frequency of each indexed word, over all texts
+    seen = rows.select(F.transform(F.array(F.lower(text)), lambda t: F.array(*(t.contains(w).cast("int") for w in index))).alias("f")).select(F.get("f", F.lit(0)).alias("f"))
+    counts = seen.agg(*(F.sum(F.get("f", F.lit(i))).alias(f"n{i}") for i in range(len(index)))).head()
+    df = {w: counts[i] or 0 for i, w in enumerate(index)}
     found = [places for t in templates if (places := _places(F.col("words"), t, df)) is not None]
     kind = "array<struct<label:string,at:bigint,share:double,base:boolean>>"
     none = F.array().cast(kind)
