@@ -28,16 +28,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and each whole row as one column: no column of documents can clash with theirs."""
+    return docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents scored 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(docs, labels, keep=tuple(docs.columns))
-    return scored.filter(F.col("predicted") == 0).select(docs.columns)
+    scored = toxicity.score_toxicity(_as_rows(docs), labels, keep=("row",))
+    return scored.filter(F.col("predicted") == 0).select("row.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without letters, or below the calibrated limits for every language, go."""
-    return language_id.identify(docs, keep=tuple(docs.columns)).filter(~F.col("rejected")).select(docs.columns)
+    return language_id.identify(_as_rows(docs), keep=("row",)).filter(~F.col("rejected")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ it with the library on every assigned code point.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,10 +20,27 @@ from tokenizers import Tokenizer
 #: Pre-tokens remembered by a worker beyond the vocabulary; then it starts afresh.
 MEMORY = 400_000
 
-# The two published splitting patterns, with the white space property written out
-# (a bare \s would also match U+001C to U+001F, which the library doesn't count as white space).
-_GPT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-_WORD = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"""
+# The two published splitting patterns. The white space property is written out (a bare
+# \s would also match U+001C to U+001F, which the library doesn't count as white space), and letters
+# come first: no contraction starts with one.
+_GPT = r""" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+_WORD = r"""\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\p{White_Space}\p{L}\p{N}]+"""
+# The same on ASCII, where plain character ranges do.
+_ASCII_GPT = r""" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"""
+_ASCII_WORD = r"""[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\ra-z0-9]+"""
+
+
+@lru_cache(maxsize=1)
+def _unsettled() -> tuple[regex.Pattern, regex.Pattern]:
+    """(quick test, exact test) for code points that are letters or numbers only in newer Unicode versions.
+
+    The libraries may differ on those; texts with one of them are left to the library as a whole.
+    """
+    known = regex.compile(r"[\p{L}\p{N}]")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    if not points:
+        return regex.compile(r"(?!)"), regex.compile(r"(?!)")
+    return regex.compile(f"[\\U{points[0]:08X}-\\U0010FFFF]"), regex.compile("[" + "".join(f"\\U{c:08X}" for c in points) + "]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,7 +66,8 @@ class PieceEncoder:
         if not plain or (kind, conf["normalizer"] is None) not in (("ByteLevel", True), ("Sequence", False)):
             raise ValueError("this tokenizer file needs a splitting rule that isn't built in")
         self.folds = kind == "Sequence"
-        self._split = regex.compile(_WORD if self.folds else _GPT).findall
+        self._split_any = regex.compile(_WORD if self.folds else _GPT).findall
+        self._split_ascii = re.compile(_ASCII_WORD if self.folds else _ASCII_GPT).findall
         self._marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _fold(self, text: str) -> str:
@@ -57,6 +76,19 @@ class PieceEncoder:
         # the library lowers each character by itself; str.lower() has one rule that looks around it
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
+    def _split(self, text: str) -> list[str]:
+        return self._split_ascii(text) if text.isascii() else self._split_any(text)
+
+    def unsettled(self, text: str) -> bool:
+        """Must this text be left to the library?"""
+        if text.isascii():
+            return False
+        quick, exact = _unsettled()
+        return quick.search(text) is not None and exact.search(text) is not None
+
+    def library_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def segments(self, text: str) -> list[tuple[list[str], str | None]]:
         """(pre-tokens, special string that follows or None) in order."""
         if self._marks is None or "<" not in text:

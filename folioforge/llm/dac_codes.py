@@ -115,6 +115,8 @@ class Image:
 
 def encode_text(encoder: PieceEncoder, table: PieceBytes, text: str, width: int) -> bytes:
     """Ids of one text as integers of ``width`` bytes."""
+    if encoder.unsettled(text):
+        return np.array(encoder.library_ids(text), f"<u{width}").tobytes()
     out = []
     for pieces, mark in encoder.segments(text):
         out.extend(map(table.__getitem__, pieces))

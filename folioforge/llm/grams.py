@@ -29,6 +29,8 @@ def normal_points(texts: list[str], digits: bool) -> tuple[np.ndarray, np.ndarra
 def gram_buckets(points: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Bucket of the n-gram that starts at each point; 2**bits where it would leave its text."""
     size = len(points)
+    if size < n:
+        return np.full(size, 1 << bits, np.uint32)
     h = np.zeros(size, np.uint32)
     base = points * np.uint32(0x9E3779B1)
     base ^= base >> np.uint32(15)

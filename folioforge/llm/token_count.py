@@ -25,6 +25,8 @@ from folioforge.llm.columns import text_slices
 
 def count_tokens(encoder: PieceEncoder, counts: PieceCounts, text: str) -> int:
     """Tokens of one text."""
+    if encoder.unsettled(text):
+        return len(encoder.library_ids(text))
     total = 0
     for pieces, mark in encoder.segments(text):
         total += sum(map(counts.__getitem__, pieces)) + (mark is not None)
