@@ -29,10 +29,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+#: Tables that the running query has kept; emptied when a query starts.
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept(f: Query) -> Query:
+    """A table that one query refers to several times: checkpointed at its first use in that query."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (f.__name__, sf_dir)
+        if key not in _KEPT:
+            _KEPT[key] = checkpointed(f(spark, sf_dir))
+        return _KEPT[key]
+
+    return get
+
+
 def query(f: Query) -> Query:
     """Register a query; whole numbers come out as bigint."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _KEPT.clear()
         df = f(spark, sf_dir)
         return df.select(*(F.col(n).cast("bigint") if t == "int" else F.col(n) for n, t in df.dtypes))
 
@@ -48,22 +65,31 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return sources.from_text(_docs(spark, d), WORDS_PER_PAGE)
 
 
+@kept
+def _kept_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d)
+
+
 def _totals(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
 
 
+@kept
 def _flat(spark: SparkSession, d: str) -> DataFrame:
-    return sections.with_preface(sections.with_fallback(sections.flat_sections(_pages(spark, d)), _docs(spark, d)))
+    return sections.with_preface(sections.with_fallback(sections.flat_sections(_kept_pages(spark, d)), _docs(spark, d)))
 
 
+@kept
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return tree.build_tree(_flat(spark, d), _totals(_pages(spark, d)))
+    return tree.build_tree(_flat(spark, d), _totals(_kept_pages(spark, d)))
 
 
+@kept
 def _summarised(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.add_summaries(_nodes(spark, d), _pages(spark, d))
+    return summarize.add_summaries(_nodes(spark, d), _kept_pages(spark, d))
 
 
+@kept
 def _described(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).drop("text")
     return docs.join(summarize.descriptions(_summarised(spark, d), docs), "doc_id")
@@ -92,13 +118,15 @@ def _path(name: str = "path") -> Column:
     return F.array_join(F.transform(name, lambda x: x.cast("string")), "/").alias(name)
 
 
+@kept
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     return C.concept_plan(docs, C.term_scores(docs))
 
 
+@kept
 def _concept_pages(spark: SparkSession, d: str) -> DataFrame:
-    plan = checkpointed(_plan(spark, d))
+    plan = _plan(spark, d)
     return C.concept_pages(plan, _docs(spark, d), C.known_targets(plan))
 
 
@@ -161,14 +189,14 @@ def tag_pages(spark, d):
 
 @query
 def group_pages(spark, d):
-    pages = _pages(spark, d)
+    pages = _kept_pages(spark, d)
     counts = pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
     return sections.group_ranges(counts, GROUP.max_tokens_per_group, GROUP.page_overlap)
 
 
 @query
 def group_texts(spark, d):
-    pages = _pages(spark, d)
+    pages = _kept_pages(spark, d)
     counts = pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
     return sections.group_pages(pages, sections.group_ranges(counts, GROUP.max_tokens_per_group, GROUP.page_overlap))
 
@@ -190,7 +218,7 @@ def flat_sections_grouped(spark, d):
 
 @query
 def fallback_sections(spark, d):
-    return sections.with_fallback(sections.flat_sections(_pages(spark, d)), _docs(spark, d))
+    return sections.with_fallback(sections.flat_sections(_kept_pages(spark, d)), _docs(spark, d))
 
 
 @query
@@ -270,20 +298,20 @@ def tree_json(spark, d):
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
     """Each document as one section."""
-    docs, pages = _docs(spark, d), _pages(spark, d)
+    docs, pages = _docs(spark, d), _kept_pages(spark, d)
     one = docs.join(_totals(pages), "doc_id", "left_semi").select("doc_id", F.lit(1).alias("ord"), F.lit("1").alias("structure"), F.col("doc_name").alias("title"), F.lit(1).alias("physical_index"))
     return tree.build_tree(one, _totals(pages))
 
 
 @query
 def large_nodes(spark, d):
-    counts = _pages(spark, d).select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
+    counts = _kept_pages(spark, d).select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
     return expand.large_nodes(_coarse(spark, d), counts, LARGE).select("doc_id", _path(), "start_index", "end_index")
 
 
 @query
 def expand_nodes(spark, d):
-    pages = checkpointed(_pages(spark, d))
+    pages = _kept_pages(spark, d)
     out = expand.expand_large_nodes(_coarse(spark, d), pages, _totals(pages), LARGE)
     return out.select("doc_id", _path(), "depth", "tree_depth", "title", "start_index", "end_index")
 
@@ -293,7 +321,7 @@ def expand_nodes(spark, d):
 
 @query
 def section_text(spark, d):
-    return summarize.section_text(_nodes(spark, d), _pages(spark, d), 300).select("doc_id", _path(), "text")
+    return summarize.section_text(_nodes(spark, d), _kept_pages(spark, d), 300).select("doc_id", _path(), "text")
 
 
 @query
@@ -308,7 +336,7 @@ def doc_description(spark, d):
 
 @query
 def sources_json(spark, d):
-    return render.sources_json(_pages(spark, d))
+    return render.sources_json(_kept_pages(spark, d))
 
 
 @query
@@ -366,7 +394,7 @@ def concept_first_wins(spark, d):
 
 @query
 def related_minus_concepts(spark, d):
-    plan = checkpointed(_plan(spark, d))
+    plan = _plan(spark, d)
     return C.related_minus_concepts(plan, C.last_wins(C.concept_pages(plan, _docs(spark, d), C.known_targets(plan))))
 
 
@@ -401,7 +429,7 @@ def wiki_targets(spark, d):
 
 
 def _wanted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    plan = checkpointed(_plan(spark, d))
+    plan = _plan(spark, d)
     pages = C.last_wins(C.concept_pages(plan, _docs(spark, d), C.known_targets(plan)))
     return C.related_minus_concepts(plan, pages), pages
 
@@ -461,8 +489,8 @@ def linked_concepts(spark, d):
 def wiki_files(spark, d):
     wanted, pages = _wanted(spark, d)
     pages = checkpointed(pages)
-    docs, nodes = _described(spark, d), checkpointed(_summarised(spark, d))
-    return wiki.wiki_files(docs, render.sources_json(_pages(spark, d)), render.summary_pages(nodes, _docs(spark, d)), pages, checkpointed(wanted))
+    docs, nodes = _described(spark, d), _summarised(spark, d)
+    return wiki.wiki_files(docs, render.sources_json(_kept_pages(spark, d)), render.summary_pages(nodes, _docs(spark, d)), pages, checkpointed(wanted))
 
 
 # --- questions ----------------------------------------------------------------
@@ -475,7 +503,7 @@ def parse_pages(spark, d):
 
 @query
 def page_content(spark, d):
-    pages = _pages(spark, d).join(_docs(spark, d).select("doc_id", "doc_name"), "doc_id").select("doc_name", "page", "content")
+    pages = _kept_pages(spark, d).join(_docs(spark, d).select("doc_id", "doc_name"), "doc_id").select("doc_name", "page", "content")
     rows = _requests(spark, d)
     named = rows.withColumn("doc_name", F.when(F.col("q_id") % 10 == 9, F.lit("nowhere")).otherwise(F.col("doc_name")))
     return A.page_content(named, pages)
@@ -512,13 +540,13 @@ def unfetched_citations(spark, d):
 
 @query
 def rank_sections(spark, d):
-    texts = summarize.section_text(_nodes(spark, d), _pages(spark, d))
+    texts = summarize.section_text(_nodes(spark, d), _kept_pages(spark, d))
     return A.rank_sections(_questions(spark, d), texts).select("q_id", "rank", "doc_id", _path(), "overlap")
 
 
 @query
 def answer(spark, d):
-    pages, nodes = _pages(spark, d), checkpointed(_nodes(spark, d))
+    pages, nodes = _kept_pages(spark, d), _nodes(spark, d)
     ranked = A.rank_sections(_questions(spark, d), summarize.section_text(nodes, pages))
     return A.answers(_questions(spark, d), ranked, nodes, pages, _docs(spark, d))
 
