@@ -12,6 +12,8 @@ from folioforge.functions import text as T
 from folioforge.operators import ask as A
 from folioforge.operators import concepts as C
 from folioforge.operators import expand, render, sections, summarize, tree, verify, wiki
+from folioforge.plans import model_steps as M
+from folioforge.plans.backends import HttpBackend
 from folioforge.plans.storage import checkpointed
 from folioforge.sources import pages as sources
 
@@ -37,11 +39,16 @@ class Wiki:
 
 
 class WikiEngine:
-    """Entry points. The rule backend is deterministic; its answers stand in for a model's."""
+    """Entry points. Without a backend the rules are used: deterministic stand-ins for a model's answers.
 
-    def __init__(self, spark: SparkSession, config: TreeConfig = TreeConfig()) -> None:
+    With one it is asked for sections, checks, relocations, summaries, descriptions, overviews,
+    plans and concept pages; expansion and answers go by the rules.
+    """
+
+    def __init__(self, spark: SparkSession, config: TreeConfig = TreeConfig(), backend: HttpBackend | None = None) -> None:
         self.spark = spark
         self.config = config
+        self.backend = backend
 
     def pages(self, docs: DataFrame, words_per_page: int = 500) -> DataFrame:
         """Pages of documents (doc_id, text), or of ready-made pages (doc_id, texts)."""
@@ -56,20 +63,28 @@ class WikiEngine:
         pages = checkpointed(self.pages(docs, words_per_page))
         totals = pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
         names = docs.select("doc_id", "doc_name").join(totals.select("doc_id"), "doc_id", "left_semi")
-        flat = checkpointed(sections.with_preface(sections.with_fallback(sections.flat_sections(pages, self.config), names)))
-        fixed = checkpointed(verify.verify_and_fix(flat, pages, totals, self.config).drop("ok"))
-        nodes = expand.expand_large_nodes(tree.build_tree(fixed, totals), pages, totals, self.config)
-        nodes = checkpointed(summarize.add_summaries(nodes, pages))
-        described = names.join(summarize.descriptions(nodes, names), "doc_id").join(totals, "doc_id").withColumnRenamed("total_pages", "n_pages")
+        c, model = self.config, self.backend
+        found = M.generate(pages, model, c.max_tokens_per_group, c.page_overlap, c.max_sections) if model else sections.flat_sections(pages, c)
+        flat = checkpointed(sections.with_preface(sections.with_fallback(found, names)))
+        fixed = M.verify_and_fix(flat, pages, totals, model, c.max_fix_attempts, c.fix_search_radius) if model else verify.verify_and_fix(flat, pages, totals, c)
+        nodes = expand.expand_large_nodes(tree.build_tree(checkpointed(fixed.drop("ok")), totals), pages, totals, c)
+        nodes = M.summaries(summarize.section_text(nodes, pages), model) if model else checkpointed(summarize.add_summaries(nodes, pages))
+        told = M.descriptions(nodes, names, model) if model else summarize.descriptions(nodes, names)
+        described = names.join(told, "doc_id").join(totals, "doc_id").withColumnRenamed("total_pages", "n_pages")
         return Build(described, pages, nodes)
 
     def compile(self, build: Build, merge: bool = False, existing: DataFrame | None = None) -> Wiki:
         """Concept pages, links and files. ``merge``: documents, in order of id, update the concepts of earlier ones."""
         texts = build.pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("text"))
         docs = build.docs.join(texts, "doc_id")
-        plan = checkpointed(C.concept_plan(docs, C.term_scores(docs), existing, merge))
-        pages = C.last_wins(C.concept_pages(plan, docs, C.known_targets(plan)))
-        pages = checkpointed(pages)
+        if self.backend:
+            seen = M.overviews(render.summary_pages(build.nodes, build.docs), self.backend)
+            plan = checkpointed(M.plan(seen, self.backend))
+            pages = M.concept_pages(plan, seen, C.known_targets(plan), self.backend)
+        else:
+            plan = checkpointed(C.concept_plan(docs, C.term_scores(docs), existing, merge))
+            pages = C.concept_pages(plan, docs, C.known_targets(plan))
+        pages = checkpointed(C.last_wins(pages))
         wanted = C.related_minus_concepts(plan, pages)
         files = wiki.wiki_files(build.docs, render.sources_json(build.pages), render.summary_pages(build.nodes, build.docs), pages, wanted)
         return Wiki(build, plan, pages, wanted, files)

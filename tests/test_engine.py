@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
@@ -63,11 +63,13 @@ def test_stream_upserts(spark, tmp_path):
     assert got == {"summaries/a": (1, "z"), "summaries/b": (2, "y")}
 
 
-def test_http_backend(spark):
+def serve(reply):
+    """(server, address) of a chat endpoint that answers prompts by a function."""
+
     class Reply(BaseHTTPRequestHandler):
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            text = json.dumps({"choices": [{"message": {"content": body["messages"][0]["content"].upper()}}]}).encode()
+            text = json.dumps({"choices": [{"message": {"content": reply(body["messages"][0]["content"])}}]}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(text)
@@ -75,9 +77,40 @@ def test_http_backend(spark):
         def log_message(self, *_):
             pass
 
-    server = HTTPServer(("127.0.0.1", 0), Reply)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Reply)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    backend = HttpBackend("m", f"http://127.0.0.1:{server.server_port}/v1")
+    return server, f"http://127.0.0.1:{server.server_port}/v1"
+
+
+def test_http_backend(spark):
+    server, url = serve(str.upper)
+    backend = HttpBackend("m", url)
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "i bigint, t string")
     assert sorted(map(tuple, backend.answer(rows, F.col("t")).collect())) == [(1, "a", "A"), (2, "b", "B")]
     server.shutdown()
+
+
+def test_build_with_a_model(spark):
+    def reply(prompt: str) -> str:
+        if prompt.startswith("List the sections"):
+            return json.dumps([{"structure": "1", "title": "Rivers", "physical_index": 1}, {"structure": "2", "title": "Lakes", "physical_index": 1}])
+        if prompt.startswith("Does a section"):
+            return json.dumps({"is_correct": "Rivers" in prompt.split("\n")[0]})
+        if prompt.startswith("On which"):
+            page = prompt.split("Lakes\nA ")[0].rsplit("<physical_index_", 1)[1].split(">")[0]
+            return json.dumps({"is_correct": True, "physical_index": int(page)})
+        if prompt.startswith("Which concept"):
+            return json.dumps({"create": [{"name": "gravel bank", "title": "Gravel bank"}], "update": [{"name": "Lake!", "title": "Lake"}], "related": ["x"]})
+        if prompt.startswith("Write a Markdown"):
+            return json.dumps({"brief": "b", "content": "see [[concepts/gravel-bank]] and [[concepts/none]]"})
+        return "Said." if not prompt.startswith("Begin") else "not json {"
+
+    server, url = serve(reply)
+    engine = WikiEngine(spark, backend=HttpBackend("m", url))
+    out = engine.build_wiki(documents(spark), words_per_page=60)
+    nodes = out.build.nodes.filter("doc_id = 1").orderBy("path").collect()
+    assert [(r["title"], r["start_index"], r["summary"]) for r in nodes][0] == ("Rivers", 1, "Said.") and nodes[1]["start_index"] > 1
+    assert {r["description"] for r in out.build.docs.collect()} == {"Said."}
+    files = {r["path"]: r["content"] for r in out.files.collect()}
+    assert "see [[concepts/gravel-bank]] and concepts/none" in files["concepts/gravel-bank.md"] and "concepts/Lake.md" in files
+    server.shutdown()
