@@ -37,10 +37,10 @@ SIZES = (3, 4, 5, 6)
 class Fit:
     """Bounds of the sample and of the regression."""
 
-    toxic_rows: int = 3000
-    other_rows: int = 6000
+    toxic_rows: int = 2000
+    other_rows: int = 4000
     max_chars: int = 20_000  # longer texts aren't sampled, so that the sample is bounded
-    features: int = 60_000
+    features: int = 4000
     least_ratio: float = 12.0  # of the likelihood-ratio test
     smoothing: float = 0.5
     penalty: float = 2e-4
@@ -91,13 +91,13 @@ def train(texts: list[str], y: np.ndarray, fit: Fit) -> Model | None:
     test[np.maximum(p, q) < 3] = 0
     chosen = np.argsort(-test, kind="stable")[: fit.features]
     chosen = chosen[test[chosen] >= fit.least_ratio]
-    place = np.full(size + 1, -1)
+    place = np.full(size + 1, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     r = ratio[chosen]
     # made again rather than kept: all n-grams of the sample would not fit a small driver
     cols = [(c := place[grams(text)])[c >= 0] for text in texts]
-    row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
-    col = np.concatenate(cols).astype(np.int64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols)
     value = r[col]
     # accelerated gradient descent on the mean logistic loss; the step follows from the largest row
     norm = np.bincount(row, value * value, len(y)).mean() + 1
