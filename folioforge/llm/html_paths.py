@@ -45,7 +45,7 @@ ENDS = {"p": ({"p"}, {"body"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt":
 # Elements, roles and words of class and id that mark what isn't the article.
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip hidden".split())
+ASIDE_WORDS = frozenset("alert toast paywall captcha ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget pagination pager skip hidden".split())
 CONTENT_TAGS = frozenset("article main".split())
 
 
