@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ SPACE = r"(?U)\s+"
 UNNAMED = "unnamed-concept"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` made once, also where ``f`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters other than white space."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
@@ -44,20 +50,24 @@ def split_pages(text: Column, words_per_page: int = 500) -> Column:
     Pages are trimmed and empty ones dropped. A fold over the word counts of the lines;
     only integers are carried, the text is cut once at the end.
     """
-    lines = F.split(text, "\n")
-    fold = F.aggregate(
-        F.transform(lines, word_count),
-        F.expr("named_struct('n', 0, 'i', 0, 'ends', cast(array() as array<int>))"),
-        lambda a, n: F.struct(
-            F.when(a["n"] + n >= words_per_page, 0).otherwise(a["n"] + n).alias("n"),
-            (a["i"] + 1).alias("i"),
-            F.when(a["n"] + n >= words_per_page, F.array_append(a["ends"], a["i"] + 1)).otherwise(a["ends"]).alias("ends"),
-        ),
-        lambda a: F.when(F.coalesce(F.try_element_at(a["ends"], F.lit(-1)) == a["i"], F.lit(False)), a["ends"]).otherwise(F.array_append(a["ends"], a["i"])),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.slice(fold, 1, F.size(fold) - 1))
-    cut = F.zip_with(starts, fold, lambda s, e: strip(F.array_join(F.slice(lines, s + 1, e - s), "\n")))
-    return F.filter(cut, lambda p: p != "")
+
+    def ends(lines: Column) -> Column:
+        return F.aggregate(
+            F.transform(lines, word_count),
+            F.expr("named_struct('n', 0, 'i', 0, 'ends', cast(array() as array<int>))"),
+            lambda a, n: F.struct(
+                F.when(a["n"] + n >= words_per_page, 0).otherwise(a["n"] + n).alias("n"),
+                (a["i"] + 1).alias("i"),
+                F.when(a["n"] + n >= words_per_page, F.array_append(a["ends"], a["i"] + 1)).otherwise(a["ends"]).alias("ends"),
+            ),
+            lambda a: F.when(F.coalesce(F.try_element_at(a["ends"], F.lit(-1)) == a["i"], F.lit(False)), a["ends"]).otherwise(F.array_append(a["ends"], a["i"])),
+        )
+
+    def cut(lines: Column) -> Column:
+        page = lambda s, e: strip(F.array_join(F.slice(lines, s + 1, e - s), "\n"))
+        return let(ends(lines), lambda e: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)), e, page))
+
+    return F.filter(let(F.split(text, "\n"), cut), lambda p: p != "")
 
 
 _NUMBER = r"^\+?[0-9]+(_[0-9]+)*$"

@@ -73,7 +73,7 @@ def headings(content: Column) -> Column:
         title = F.when(mark != "", F.regexp_replace(line, r"^#+\s+", "")).when(number != "", F.regexp_replace(line, r"^[0-9.]+\s+", "")).otherwise(line)
         return F.struct(level.alias("level"), T.strip(title).alias("title"))
 
-    return F.filter(F.transform(F.split(content, "\n"), lambda x: one(T.strip(x))), lambda h: h["level"].isNotNull())
+    return F.filter(F.transform(F.transform(F.split(content, "\n"), T.strip), one), lambda h: h["level"].isNotNull())
 
 
 def numbered(levels: Column) -> Column:
