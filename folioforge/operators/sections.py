@@ -25,15 +25,15 @@ def tag_pages(pages: DataFrame, start_index: int = 1) -> DataFrame:
     return pages.select("doc_id", "page", tagged(F.col("page") + (start_index - 1), F.col("content")).alias("tagged"))
 
 
-def group_ranges(counts: DataFrame, max_tokens: int, overlap: int = 1) -> DataFrame:
-    """(doc_id, group_no, first_page, last_page) of each group, from (doc_id, page, tokens).
+def _grouped(rows: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
+    """(doc_id, p, g): the rows of each document by page, and its groups as ranges [s, e) of places in ``p``.
 
-    One group if all fits; else groups of about equal size: a page that would exceed the
-    target starts a new group with the last ``overlap`` pages before it.
+    ``rows``: (doc_id, page, tokens, ...). The fold carries places and token counts only.
     """
-    per_doc = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "tokens"))).alias("p"))
+    rest = [c for c in rows.columns if c not in ("doc_id", "page", "tokens")]
+    per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "tokens", *rest))).alias("p"))
     t = "transform(p, x -> cast(x.tokens as bigint))"
-    per_doc = per_doc.select("doc_id", F.expr("transform(p, x -> x.page)").alias("pages"), F.expr(t).alias("t"), F.expr(f"aggregate({t}, 0L, (a, x) -> a + x)").alias("total"))
+    per_doc = per_doc.select("doc_id", "p", F.expr(t).alias("t"), F.expr(f"aggregate({t}, 0L, (a, x) -> a + x)").alias("total"))
     per_doc = per_doc.withColumn("target", F.expr(f"ceil((total / ceil(total / {max_tokens}D) + {max_tokens}) / 2)"))
     fold = F.expr(f"""
         aggregate(
@@ -47,8 +47,17 @@ def group_ranges(counts: DataFrame, max_tokens: int, overlap: int = 1) -> DataFr
             named_struct('s', a.s, 'n', a.n + t[i], 'out', a.out)),
           a -> array_append(a.out, named_struct('s', a.s, 'e', size(t))))""")
     whole = F.expr("array(named_struct('s', 0, 'e', size(t)))")
-    ranges = per_doc.withColumn("g", F.when(F.col("total") <= max_tokens, whole).otherwise(fold))
-    return ranges.select("doc_id", "pages", F.posexplode("g").alias("group_no", "r")).select("doc_id", "group_no", F.expr("pages[r.s]").alias("first_page"), F.expr("pages[r.e - 1]").alias("last_page"))
+    return per_doc.select("doc_id", "p", F.when(F.col("total") <= max_tokens, whole).otherwise(fold).alias("g"))
+
+
+def group_ranges(counts: DataFrame, max_tokens: int, overlap: int = 1) -> DataFrame:
+    """(doc_id, group_no, first_page, last_page) of each group, from (doc_id, page, tokens).
+
+    One group if all fits; else groups of about equal size: a page that would exceed the
+    target starts a new group with the last ``overlap`` pages before it.
+    """
+    groups = _grouped(counts.select("doc_id", "page", "tokens"), max_tokens, overlap)
+    return groups.select("doc_id", "p", F.posexplode("g").alias("group_no", "r")).select("doc_id", "group_no", F.expr("p[r.s].page").alias("first_page"), F.expr("p[r.e - 1].page").alias("last_page"))
 
 
 def group_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -92,12 +101,11 @@ def flat_sections(pages: DataFrame, config: TreeConfig = TreeConfig(), counts: D
     Each group numbers its own sections and sees no other group; overlap pages give their
     headings twice, as they would to a model.
     """
-    counts = counts if counts is not None else pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
-    ranges = group_ranges(counts, config.max_tokens_per_group, config.page_overlap)
-    found = pages.select("doc_id", "page", headings(F.col("content")).alias("h")).filter(F.size("h") > 0)
-    rows = ranges.join(found, "doc_id").filter(F.col("page").between(F.col("first_page"), F.col("last_page")))
-    per_group = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("page", "h"))).alias("p"))
-    flat = per_group.select("doc_id", "group_no", F.expr("flatten(transform(p, x -> transform(x.h, y -> named_struct('page', x.page, 'level', y.level, 'title', y.title))))").alias("s"))
+    found = pages.select("doc_id", "page", *([] if counts is not None else [T.token_count(F.col("content")).alias("tokens")]), headings(F.col("content")).alias("h"))
+    rows = found.join(counts.select("doc_id", "page", "tokens"), ["doc_id", "page"]) if counts is not None else found
+    # pages are read once: groups are slices of the headings that the fold's rows carry along
+    groups = _grouped(rows, config.max_tokens_per_group, config.page_overlap).select("doc_id", "p", F.posexplode("g").alias("group_no", "r"))
+    flat = groups.select("doc_id", "group_no", F.expr("flatten(transform(slice(p, r.s + 1, r.e - r.s), x -> transform(x.h, y -> named_struct('page', x.page, 'level', y.level, 'title', y.title))))").alias("s")).filter(F.size("s") > 0)
     flat = flat.withColumn("n", numbered("transform(s, x -> x.level)"))
     out = flat.select("doc_id", "group_no", "n", F.posexplode("s").alias("pos", "x"))
     out = out.select("doc_id", "group_no", "pos", F.expr("n[pos]").alias("structure"), F.col("x.title").alias("title"), F.col("x.page").alias("physical_index"))
