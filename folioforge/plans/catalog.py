@@ -266,7 +266,7 @@ def tree_parent_three_levels(spark, d):
     r, n, c = t("region"), t("nation"), t("customer")
     top = r.select(F.col("r_regionkey").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit("1").alias("structure"))
     mid = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), F.col("n_nationkey").cast("bigint") + 1, F.lit(0).cast("bigint"), F.concat(F.lit("1."), F.col("n_nationkey").cast("string")))
-    low = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("bigint"), F.col("n_nationkey").cast("bigint") + 1, F.col("c_custkey"), F.concat(F.lit("1."), F.col("n_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string")))
+    low = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("bigint"), F.col("n_nationkey").cast("bigint") + 1, F.col("c_custkey") + 1, F.concat(F.lit("1."), F.col("n_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string")))
     rows = top.union(mid).union(low)
     rows = rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b")).alias("ord"), "structure")
     return tree.parents(rows)

@@ -210,7 +210,7 @@ ORACLE_SQL: dict[str, str] = {
     "tree_parent_three_levels": """WITH r AS (
 SELECT r_regionkey::BIGINT AS doc_id, 0::BIGINT AS a, 0::BIGINT AS b, '1' AS structure FROM region
 UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, '1.' || n_nationkey FROM nation
-UNION ALL SELECT n_regionkey, n_nationkey + 1, c_custkey, '1.' || n_nationkey || '.' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+UNION ALL SELECT n_regionkey, n_nationkey + 1, c_custkey + 1, '1.' || n_nationkey || '.' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
 o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS ord, structure FROM r)
 SELECT doc_id, ord, structure, (SELECT max(p.ord) FROM o p WHERE p.doc_id = o.doc_id AND p.ord < o.ord AND p.structure = regexp_replace(o.structure, '\\.[^.]*$', '') AND contains(o.structure, '.')) AS parent_ord FROM o""",
     "tree_end_index": rec(_CONV, "SELECT doc_id, ord, depth, tree_depth, start_index, end_index FROM nodes"),
