@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
+#: Fixed value: the characters of Unicode white space.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 UNNAMED = "unnamed-concept"
 
 
@@ -37,7 +39,7 @@ def token_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
