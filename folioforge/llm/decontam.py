@@ -37,32 +37,30 @@ UNITS = "% percent kg kilogram kilograms g gram grams mg lb lbs pound pounds oz
 
 _MARK = "\x01"
 _NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
-_WITH_UNIT = rf"({_NUMBER})\s*+(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{M}}])"
+#: A unit behind a number that has been marked.
+_UNIT = rf"(?<={_MARK} )\s*+(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{M}}])"
 #: A run of capitalised words that does not begin a sentence.
 _NAME = r"(?=\p{Lu})(?<=[^\s.!?][ \t]{1,3})((?:\p{Lu}[\p{Ll}\p{M}]++(?:[ \t]++(?=\p{Lu}[\p{Ll}\p{M}]))?)++)(?![\p{L}\p{M}])"
 _TOKEN = rf"{_MARK}[^{_MARK}]*+{_MARK}|[\p{{L}}\p{{M}}]++(?:['’][\p{{L}}\p{{M}}]++)*+"
 
 
-def _marked(text: Column, values: bool) -> Column:
-    """The text with placeholders between marks: #n, #u, #a, each with its value behind it if asked for."""
-    def put(kind: str, group: int) -> str:
-        return f" {_MARK}#{kind}{f'${group}' if values else ''}{_MARK} "
-
+def _marked(text: Column) -> Column:
+    """The text with placeholders between marks: #n, #u, #a, each with its value behind it."""
     out = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(" "))
-    out = F.regexp_replace(out, _WITH_UNIT, put("n", 1) + put("u", 2))
-    # values behind marks hold digits too: a number is only one outside of them
-    out = F.regexp_replace(out, rf"(?<![0-9.,:/#n{_MARK}])({_NUMBER})(?!{_MARK})" if values else f"({_NUMBER})", put("n", 1))
-    return F.regexp_replace(out, _NAME, put("a", 1))
+    # numbers come first, while there are no values that hold digits
+    for kind, pattern in (("n", f"({_NUMBER})"), ("u", _UNIT), ("a", _NAME)):
+        out = F.regexp_replace(out, pattern, f" {_MARK}#{kind}$1{_MARK} ")
+    return out
 
 
 def template_words(text: Column) -> Column:
-    """Template words of a text in order."""
-    return F.regexp_extract_all(F.lower(_marked(text, values=False)), F.lit(_TOKEN), F.lit(0))
+    """Template words of a text in order: the marked text without the values."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(_marked(text), rf"({_MARK}#[nua])[^{_MARK}]++", "$1")), F.lit(_TOKEN), F.lit(0))
 
 
 def template_slots(text: Column) -> Column:
     """For each template word of a text the value behind a placeholder, null for a plain word."""
-    tokens = F.regexp_extract_all(_marked(text, values=True), F.lit(_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(_marked(text), F.lit(_TOKEN), F.lit(0))
     return F.transform(tokens, lambda t: F.when(t.startswith(_MARK), F.lower(F.substring(t, 4, 1 << 30)).substr(F.lit(1), F.length(t) - 4)))
 
 

@@ -175,6 +175,29 @@ def test_canonical_words_and_slots_line_up(spark):
     assert row["s"] == [None, "5", "kg", None, None, "alice smith", None, "3.50", None, None, "7", "%", None, None, "carol"]
 
 
+def test_words_and_slots_line_up_after_every_character(spark):
+    rng = random.Random(6)
+    pieces = [f"{chr(c)}{n}" for c in range(1, 128) for n in ("7", "3.50 kg", "2020/01")]
+    texts = pieces + ["".join(rng.choice([*pieces, " ", " Alice Smith ", " word ", "5 %"]) for _ in range(40)) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decontam.template_words(F.col("t")).alias("w"), decontam.template_slots(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [w.startswith("\x01") for w in r["w"]] == [v is not None for v in r["s"]], r["t"]
+
+
+def leaks(spark, docs, items):
+    """(document, item) -> row, for texts numbered from 0."""
+    table = lambda texts, name: spark.createDataFrame(list(enumerate(texts)), f"{name} bigint, text string")
+    found = decontam.find_leaks(table(docs, "doc_id"), table(items, "item_id"), Workspace(spark, "t")).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in found}) == len(found)
+    return {(r["doc_id"], r["item_id"]): r for r in found}
+
+
+def test_leaks_behind_glued_numbers(spark):
+    before = ["See #1. ", "id:7 ", "http://a.b/2020/01 ", "Python3 and Jan2020: "]
+    found = leaks(spark, [b + QUESTION for b in before], [QUESTION])
+    assert {k: r["kind"] for k, r in found.items()} == {(i, 0): "verbatim" for i in range(len(before))}
+
+
 # --- 6: packing ---------------------------------------------------------------
 
 
