@@ -17,8 +17,10 @@ again for its slots.
 
 Defined results: null and empty texts and items match nothing, nor do items with
 fewer than ``SHORTEST`` template words; rows with a null id match nothing;
-repeated rows and ties give one row per document and item (the alignment with
-the highest coverage, the earliest among equals); other columns are not read.
+repeated rows and ties give one row per document and item (the consistent
+alignment with the highest coverage, the earliest among equals); other columns
+are not read. The windows of all consistent alignments of a document and an item
+count together; inconsistent ones beside them don't hide them.
 """
 
 from __future__ import annotations
@@ -104,11 +106,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float
     met = met.select("doc_id", "item_id", "ipos", (F.col("at") - shift).alias("dpos"))
     # written once: all that follows works on these few rows, and the texts are not canonicalised again
     met = ws.save(met.distinct(), "met")
-    lines = met.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("off")).agg(F.count("*").alias("k"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
+    lines = met.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("off")).agg(F.count("*").alias("k"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), F.collect_set("ipos").alias("places"))
     covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_matched"))
-    best = lines.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("off", "lo", "hi"), F.struct("k", -F.col("off"))).alias("line"))
-    pairs = covered.join(best, ["doc_id", "item_id"]).join(F.broadcast(total) if few else total, "item_id")
+    pairs = covered.join(F.broadcast(total) if few else total, "item_id")
     pairs = pairs.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6)).filter(F.col("coverage") >= coverage)
+    pairs = pairs.join(lines, ["doc_id", "item_id"])
 
     # slots of the alignments: texts of the documents concerned only
     slots = F.filter("iv", lambda v: v.isNotNull())
@@ -120,11 +122,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float
         texts = texts.limit(0)
     values = texts.join(concerned, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", template_slots(F.col("text")).alias("dv"))
     pairs = pairs.join(values, "doc_id", "left")
-    span = F.sequence(F.col("line.lo"), F.col("line.hi") + F.col("size") - 1)
-    filled = F.transform(F.filter(span, lambda p: F.get("iv", p).isNotNull()), lambda p: F.struct(F.get("iv", p).alias("i"), F.get("dv", p + F.col("line.off")).alias("d")))
+    span = F.sequence(F.col("lo"), F.col("hi") + F.col("size") - 1)
+    filled = F.transform(F.filter(span, lambda p: F.get("iv", p).isNotNull()), lambda p: F.struct(F.get("iv", p).alias("i"), F.get("dv", p + F.col("off")).alias("d")))
     pairs = pairs.withColumn("filled", F.when(F.col("has"), filled).otherwise(F.array().cast("array<struct<i:string,d:string>>")))
     consistent = F.size(F.array_distinct("filled")) == F.size(F.array_distinct(F.transform("filled", lambda x: x["i"])))
     changed = F.size(F.filter("filled", lambda x: ~x["i"].eqNullSafe(x["d"])))
-    return pairs.filter(consistent).select(
-        "doc_id", "item_id", "n_windows", "n_matched", "coverage", (F.col("line.off") + F.col("line.lo")).alias("first_word"), F.size("filled").alias("n_slots"), changed.alias("n_changed"), F.when(changed > 0, "re-parameterised").otherwise("verbatim").alias("kind")
+    # the best of the consistent alignments; they must reach the coverage themselves unless none is better
+    line = F.struct("k", (-F.col("off")).alias("before"), (F.col("off") + F.col("lo")).alias("first_word"), F.size("filled").alias("n_slots"), changed.alias("n_changed"))
+    judged = pairs.withColumn("good", consistent).groupBy("doc_id", "item_id", "n_windows", "n_matched", "coverage").agg(
+        F.max("k").alias("most"), F.max(F.when(F.col("good"), line)).alias("line"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("good"), F.col("places")))))).alias("n_good")
     )
+    judged = judged.filter(F.col("line").isNotNull() & ((F.col("line.k") == F.col("most")) | (F.round(F.col("n_good") / F.col("n_windows"), 6) >= coverage)))
+    return judged.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "line.first_word", "line.n_slots", "line.n_changed", F.when(F.col("line.n_changed") > 0, "re-parameterised").otherwise("verbatim").alias("kind"))

@@ -198,6 +198,12 @@ def test_leaks_behind_glued_numbers(spark):
     assert {k: r["kind"] for k, r in found.items()} == {(i, 0): "verbatim" for i in range(len(before))}
 
 
+def test_an_inconsistent_variant_does_not_hide_a_verbatim_copy(spark):
+    wrong = QUESTION.replace("120 tickets", "121 tickets")
+    found = leaks(spark, [wrong + " And now. " + QUESTION, wrong + " Or this. " + wrong, wrong + " So. " + QUESTION.replace("another", "yet another")], [QUESTION])
+    assert {k: r["kind"] for k, r in found.items()} == {(0, 0): "verbatim", (2, 0): "verbatim"}
+
+
 # --- 6: packing ---------------------------------------------------------------
 
 
