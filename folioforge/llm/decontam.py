@@ -10,13 +10,18 @@ values that fill the placeholders must be consistent: wherever the item repeats
 a value, the document repeats its counterpart. So a question that has been given
 other numbers and names is caught, with the values it was given.
 
+Items that have at most one window that says something (up to eight template
+words, or mostly numbers and names) are looked for in two more ways: word by word
+with all values, and read as if they stood within a sentence, where a capital
+first word looks like a name ("Question: What ..."); that word must stay the same.
+
 The item table is small; its window hashes are counted, and broadcast only up to
 ``BROADCAST_WINDOWS``, beyond which the join is shuffled. Documents are read in
 one pass for the windows; the texts of documents with an alignment are read
 again for its slots.
 
 Defined results: null and empty texts and items match nothing, nor do items with
-fewer than ``SHORTEST`` template words; rows with a null id match nothing;
+fewer than ``SHORTEST`` template words or without any plain word; rows with a null id match nothing;
 repeated rows and ties give one row per document and item (the consistent
 alignment with the highest coverage, the earliest among equals); other columns
 are not read. The windows of all consistent alignments of a document and an item
@@ -43,7 +48,8 @@ _NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
 _UNIT = rf"(?<={_MARK} )\s*+(?i:({'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{M}}])"
 #: A run of capitalised words that does not begin a sentence.
 _NAME = r"(?=\p{Lu})(?<=[^\s.!?][ \t]{1,3})((?:\p{Lu}[\p{Ll}\p{M}]++(?:[ \t]++(?=\p{Lu}[\p{Ll}\p{M}]))?)++)(?![\p{L}\p{M}])"
-_TOKEN = rf"{_MARK}[^{_MARK}]*+{_MARK}|[\p{{L}}\p{{M}}]++(?:['’][\p{{L}}\p{{M}}]++)*+"
+_WORD = r"[\p{L}\p{M}]++(?:['’][\p{L}\p{M}]++)*+"
+_TOKEN = rf"{_MARK}[^{_MARK}]*+{_MARK}|{_WORD}"
 
 
 def _marked(text: Column) -> Column:
@@ -72,25 +78,68 @@ def windows(words: Column, size: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size)), F.lit(size)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def exact_words(text: Column) -> Column:
+    """Words, numbers and percent signs behind numbers of a text in order, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{_NUMBER}|(?<=[0-9]\s{{0,9}})%|{_WORD}"), F.lit(0))
+
+
+def _exact(docs: DataFrame, brief: DataFrame, ws: Workspace, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``find_leaks`` for items that a document holds word by word with their values: the first up to ``WINDOW`` words by hash, then all."""
+    worded = F.exists("w", lambda w: ~w.startswith(_MARK))  # numbers and names alone say nothing
+    items = brief.filter(worded).select("item_id", exact_words(F.col("say")).alias("e"), F.size(F.filter("iv", lambda v: v.isNotNull())).alias("n_slots")).filter(F.size("e") > 0)
+    items = items.withColumn("size", F.least(F.size("e"), F.lit(WINDOW)))
+    items = ws.save(items.withColumn("h", F.xxhash64(F.slice("e", F.lit(1), F.col("size")), "size")), "exact-items")
+    few = items.count() <= BROADCAST_WINDOWS
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]
+    hashes = F.flatten(F.array(*(windows(F.col("e"), n) for n in sizes))) if sizes else F.array().cast("array<bigint>")
+    keys = items.select("item_id", "h")
+    met = texts.select("doc_id", exact_words(F.col("text")).alias("e")).select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).join(F.broadcast(keys) if few else keys, "h")
+    met = ws.save(met.select("doc_id", "item_id").distinct(), "exact-met")
+    # the texts with a hit again, whole items against them
+    pairs = texts.join(met, "doc_id").join(F.broadcast(items) if few else items, "item_id").select("doc_id", "item_id", "n_slots", F.col("e").alias("x"), exact_words(F.col("text")).alias("e"), template_slots(F.col("text")).alias("dv"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("e") - F.size("x") + 1, F.lit(1))), lambda i: F.slice("e", i, F.size("x")) == F.col("x"))
+    pairs = pairs.withColumn("start", F.get(starts, F.lit(0)) - 1).filter("start is not null")
+    # a placeholder stands for the words of its value
+    width = F.transform("dv", lambda v: F.when(v.isNull() | (v == "%"), 1).otherwise(F.size(exact_words(v))))
+    ahead = F.aggregate(width, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), lambda a, k: F.struct((a["words"] + k).alias("words"), (a["n"] + F.when(a["words"] + k <= F.col("start"), 1).otherwise(0)).alias("n")))
+    one = F.lit(1).cast("bigint")
+    return pairs.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("coverage"), ahead["n"].alias("first_word"), "n_slots", F.lit(0).alias("n_changed"), F.lit("verbatim").alias("kind"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that it holds: (doc_id, item_id, n_windows, n_matched, coverage, first_word, n_slots, n_changed, kind)."""
-    asked = items.select(F.col(item_col).alias("item_id"), template_words(F.col(item_text_col)).alias("w"), template_slots(F.col(item_text_col)).alias("iv")).filter(F.col("item_id").isNotNull() & (F.size("w") >= SHORTEST)).dropDuplicates(["item_id"])
+    asked = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("say"), template_words(F.col(item_text_col)).alias("w"), template_slots(F.col(item_text_col)).alias("iv"))
+    asked = asked.filter(F.col("item_id").isNotNull() & (F.size("w") >= SHORTEST)).dropDuplicates(["item_id"]).withColumn("inner", F.lit(False))
     asked = ws.save(asked.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))), "items")
-    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # SHORTEST to WINDOW: five at most
 
     def at_size(words: Column, size: int) -> Column:
-        # windows made of placeholders for the most part say nothing
-        plain = F.transform(words, lambda w: F.when(w.startswith(_MARK), 0).otherwise(1))
+        # windows made of placeholders for the most part say nothing; an item's first word is a word, whatever its letters
+        plain = F.transform(words, lambda w, i: F.when(w.startswith(_MARK) & ~(F.col("inner") & (i == 0)), 0).otherwise(1))
         keep = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.aggregate(F.slice(plain, i + 1, F.lit(size)), F.lit(0), lambda a, b: a + b) * 2 >= size)
         return F.filter(F.arrays_zip(windows(words, size).alias("h"), keep.alias("keep"), F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))).alias("i")), lambda x: x["keep"] & x["h"].isNotNull())
 
-    parts = [asked.filter(F.col("size") == n).select("item_id", "size", F.explode(at_size(F.col("w"), n)).alias("x")) for n in sizes]
-    empty = asked.select("item_id", F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("ipos")).limit(0)
-    wanted = empty
-    for p in parts:
-        wanted = wanted.unionByName(p.select("item_id", "size", F.col("x.h").alias("h"), F.col("x.i").alias("ipos")))
-    wanted = ws.save(wanted, "wanted")
-    total = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    def windows_of(table: DataFrame) -> DataFrame:
+        out = table.select("item_id", "inner", "size", F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("ipos")).limit(0)
+        for n in (r["size"] for r in table.select("size").distinct().collect()):  # SHORTEST to WINDOW: five at most
+            out = out.unionByName(table.filter(F.col("size") == n).select("item_id", "inner", "size", F.explode(at_size(F.col("w"), n)).alias("x")).select("item_id", "inner", "size", F.col("x.h").alias("h"), F.col("x.i").alias("ipos")))
+        return out
+
+    wanted = ws.save(windows_of(asked), "wanted")
+    total = wanted.groupBy("item_id", "inner").agg(F.count("*").alias("n_windows"))
+    # brief items, which fall short once the window of their first word is lost, are also read as they stand within a sentence, and word by word
+    n_windows = F.coalesce("n_windows", F.lit(0))
+    brief = ws.save(asked.join(total.drop("inner"), "item_id", "left").filter(n_windows - 1 < coverage * n_windows).select(asked.columns), "brief")
+    exact = None
+    if not brief.isEmpty():
+        exact = _exact(docs, brief, ws, id_col, text_col)
+        within = F.concat(F.lit("x "), F.regexp_replace("say", r"^\s+", ""))
+        inner = brief.select("item_id", "say", F.expr("w").alias("outer"), F.slice(template_words(within), 2, 1 << 30).alias("w"), F.slice(template_slots(within), 2, 1 << 30).alias("iv"), F.lit(True).alias("inner"))
+        inner = inner.filter((F.size("w") >= SHORTEST) & (F.col("w") != F.col("outer"))).drop("outer").withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
+        asked = ws.save(asked.unionByName(inner), "readings")
+        wanted = ws.save(windows_of(asked), "all-wanted")
+        total = wanted.groupBy("item_id", "inner").agg(F.count("*").alias("n_windows"))
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]
     few = wanted.count() <= BROADCAST_WINDOWS
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
@@ -103,19 +152,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float
     for n in sizes:
         shift = F.when(F.col("size") == n, ahead).otherwise(shift)
         ahead = ahead + F.greatest(F.col("n") - n + 1, F.lit(0))
-    met = met.select("doc_id", "item_id", "ipos", (F.col("at") - shift).alias("dpos"))
+    met = met.select("doc_id", "item_id", "inner", "ipos", (F.col("at") - shift).alias("dpos"))
     # written once: all that follows works on these few rows, and the texts are not canonicalised again
     met = ws.save(met.distinct(), "met")
-    lines = met.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("off")).agg(F.count("*").alias("k"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), F.collect_set("ipos").alias("places"))
-    covered = met.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_matched"))
-    pairs = covered.join(F.broadcast(total) if few else total, "item_id")
+    lines = met.groupBy("doc_id", "item_id", "inner", (F.col("dpos") - F.col("ipos")).alias("off")).agg(F.count("*").alias("k"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), F.collect_set("ipos").alias("places"))
+    covered = met.groupBy("doc_id", "item_id", "inner").agg(F.countDistinct("ipos").alias("n_matched"))
+    pairs = covered.join(F.broadcast(total) if few else total, ["item_id", "inner"])
     pairs = pairs.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6)).filter(F.col("coverage") >= coverage)
-    pairs = pairs.join(lines, ["doc_id", "item_id"])
+    pairs = pairs.join(lines, ["doc_id", "item_id", "inner"])
 
     # slots of the alignments: texts of the documents concerned only
     slots = F.filter("iv", lambda v: v.isNotNull())
-    with_slots = asked.select("item_id", "iv", "size", (F.size(slots) > 0).alias("has"))
-    pairs = pairs.join(F.broadcast(with_slots) if few else with_slots, "item_id")
+    with_slots = asked.select("item_id", "inner", "iv", "size", (F.size(slots) > 0).alias("has"))
+    pairs = pairs.join(F.broadcast(with_slots) if few else with_slots, ["item_id", "inner"])
     pairs = ws.save(pairs, "pairs")
     concerned = pairs.filter("has").select("doc_id").distinct()
     if concerned.isEmpty():
@@ -126,11 +175,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, ws: Workspace, coverage: float
     filled = F.transform(F.filter(span, lambda p: F.get("iv", p).isNotNull()), lambda p: F.struct(F.get("iv", p).alias("i"), F.get("dv", p + F.col("off")).alias("d")))
     pairs = pairs.withColumn("filled", F.when(F.col("has"), filled).otherwise(F.array().cast("array<struct<i:string,d:string>>")))
     consistent = F.size(F.array_distinct("filled")) == F.size(F.array_distinct(F.transform("filled", lambda x: x["i"])))
+    # the item's first word stays the same, also where it looks like a name
+    first = lambda v: F.regexp_extract(v, r"^\S+", 0)
+    consistent = consistent & F.when(F.col("inner") & (F.col("lo") == 0), F.get("iv", F.lit(0)).isNull() | first(F.get("iv", F.lit(0))).eqNullSafe(first(F.get("dv", F.col("off"))))).otherwise(True)
     changed = F.size(F.filter("filled", lambda x: ~x["i"].eqNullSafe(x["d"])))
     # the best of the consistent alignments; they must reach the coverage themselves unless none is better
     line = F.struct("k", (-F.col("off")).alias("before"), (F.col("off") + F.col("lo")).alias("first_word"), F.size("filled").alias("n_slots"), changed.alias("n_changed"))
-    judged = pairs.withColumn("good", consistent).groupBy("doc_id", "item_id", "n_windows", "n_matched", "coverage").agg(
+    judged = pairs.withColumn("good", consistent).groupBy("doc_id", "item_id", "inner", "n_windows", "n_matched", "coverage").agg(
         F.max("k").alias("most"), F.max(F.when(F.col("good"), line)).alias("line"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("good"), F.col("places")))))).alias("n_good")
     )
     judged = judged.filter(F.col("line").isNotNull() & ((F.col("line.k") == F.col("most")) | (F.round(F.col("n_good") / F.col("n_windows"), 6) >= coverage)))
-    return judged.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "line.first_word", "line.n_slots", "line.n_changed", F.when(F.col("line.n_changed") > 0, "re-parameterised").otherwise("verbatim").alias("kind"))
+    out = judged.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "line.first_word", "line.n_slots", "line.n_changed", F.when(F.col("line.n_changed") > 0, "re-parameterised").otherwise("verbatim").alias("kind"))
+    if exact is None:
+        return out
+    rest = [c for c in out.columns if c not in ("doc_id", "item_id")]
+    rank = F.struct("coverage", F.col("kind") == "verbatim", -F.col("first_word"))
+    return out.unionByName(exact).groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), rank).alias("row")).select("doc_id", "item_id", "row.*")

@@ -204,6 +204,14 @@ def test_an_inconsistent_variant_does_not_hide_a_verbatim_copy(spark):
     assert {k: r["kind"] for k, r in found.items()} == {(0, 0): "verbatim", (2, 0): "verbatim"}
 
 
+def test_brief_items(spark):
+    items = ["What is 12 + 30 * 4 - 7?", "What is the capital of France?", "Which costs 5 kg and 7 % more?"]
+    docs = ["Q: " + items[0], "See Bob Stone. Question: " + items[1] + " Paris.", "Q: What is the capital of Spain?", "Q: Paris is the capital of France?", "What is 12 + 30 * 4 - 8?", "so " + items[2], items[1]]
+    found = leaks(spark, docs, items)
+    assert {k: r["kind"] for k, r in found.items()} == {(0, 0): "verbatim", (1, 1): "verbatim", (2, 1): "re-parameterised", (5, 2): "verbatim", (6, 1): "verbatim"}
+    assert found[(1, 1)]["first_word"] == 3
+
+
 # --- 6: packing ---------------------------------------------------------------
 
 
