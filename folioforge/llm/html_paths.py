@@ -7,7 +7,8 @@ node's path score is smoothed over its neighbours in page order and fused with
 the unsmoothed one; nodes above a threshold that follows from the spread of the
 scores are content. The element that holds the content is then taken whole, but
 for parts that are marked as something else (menus, forms, notices, adverts,
-comments and the like) and for paths made of links.
+comments and the like). Where no element but the page itself holds it, items of
+link lists without words of their own are left out too.
 
 One narrow pass over the pages; no shuffle, and a page is the unit of memory.
 
@@ -141,8 +142,8 @@ def text_nodes(page: str) -> list[tuple[_Node, int, str]]:
     return out
 
 
-def path_scores(nodes: list[tuple[_Node, int, str]]) -> tuple[np.ndarray, dict[str, float]]:
-    """(fused score of each node, share of link text of each path)."""
+def path_scores(nodes: list[tuple[_Node, int, str]]) -> np.ndarray:
+    """Fused score of each node."""
     sums: dict[str, list[float]] = {}
     for node, _, text in nodes:
         s = sums.setdefault(node.path, [0, 0, 0, 0])
@@ -151,15 +152,35 @@ def path_scores(nodes: list[tuple[_Node, int, str]]) -> tuple[np.ndarray, dict[s
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += n * node.link
         s[3] += n > 0
-    ratio, links = {}, {}
+    ratio = {}
     for path, (length, marks, linked, count) in sums.items():
-        links[path] = linked / length if length else 0.0
+        share = linked / length if length else 0.0
         k = max(count, 1)
-        ratio[path] = math.log1p(length / k) * math.log1p(1 + marks / k) * (1 - links[path])
+        ratio[path] = math.log1p(length / k) * math.log1p(1 + marks / k) * (1 - share)
     raw = np.array([0.0 if node.aside else ratio[node.path] for node, _, _ in nodes])
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = np.convolve(np.pad(raw, 2, mode="edge"), kernel / kernel.sum(), "valid") if len(raw) else raw
-    return np.sqrt(raw * smooth), links
+    return np.sqrt(raw * smooth)
+
+
+def _links_alone(nodes: list[tuple[_Node, int, str]]) -> set[_Node]:
+    """Elements whose text is left out outside a content element: items without words of their own in lists that are links for the most part."""
+    sums: dict[_Node, list[int]] = {}
+    lists: dict[_Node, list[int]] = {}
+    part: dict[_Node, tuple[_Node, _Node]] = {}
+    for node, _, text in nodes:
+        item = node
+        while item is not None and item.tag != "li":
+            item = item.parent
+        if item is None or item.parent is None:
+            continue
+        part[node] = (item, item.parent)
+        n = sum(map(str.isalnum, text))
+        for table, key in ((sums, item), (lists, item.parent)):
+            s = table.setdefault(key, [0, 0])
+            s[0] += n
+            s[1] += n * node.link
+    return {node for node, (item, whole) in part.items() if sums[item][0] == sums[item][1] and 2 * lists[whole][1] > lists[whole][0]}
 
 
 def main_text(page: str | None) -> str:
@@ -168,7 +189,7 @@ def main_text(page: str | None) -> str:
     nodes = [n for n in nodes if not n[0].aside]
     if not any(text.strip() for _, _, text in nodes):
         return ""
-    score, links = path_scores(nodes)
+    score = path_scores(nodes)
     length = np.array([len(text.strip()) for _, _, text in nodes], float)
     full = score[length > 0]
     # the spread sets the threshold; on a page of equal nodes there is none, and all are content
@@ -188,8 +209,9 @@ def main_text(page: str | None) -> str:
         root = root.parent
     blocks: dict[int, list[str]] = {}
     whole = root is not None and root.tag not in ("", "html", "body")
+    alone = set() if whole else _links_alone(nodes)
     for (node, block, text), ok in zip(nodes, content, strict=True):
-        if links[node.path] > 0.5 and node.path.count("/li/"):
+        if node in alone:
             continue
         up = node
         while up is not None and up is not root:

@@ -40,6 +40,13 @@ def test_article_alone_remains():
     assert html_paths.main_text(PAGE) == "The title\nFirst paragraph, with bold text & more.\nSecond one, longer than the first; it goes on.\nPoint one\nPoint two"
 
 
+def test_links_in_lists_of_the_article_remain():
+    page = "<body><article><p>A first paragraph, long enough to be prose; it goes on.</p><ul><li>See <a href=x>the guide</a> first.<li><a href=y>A reference</a></ul></article></body>"
+    assert html_paths.main_text(page) == "A first paragraph, long enough to be prose; it goes on.\nSee the guide first.\nA reference"
+    loose = "<body><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul><p>A first paragraph, long enough to be prose.</p><p>See also, in short.</p></body>"
+    assert html_paths.main_text(loose) == "A first paragraph, long enough to be prose.\nSee also, in short."
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>Hello", "Hello"), ("text only", "text only"), ("<div><div>One block, only.</div></div>", "One block, only."), ("<!-- <p>x</p>", ""), ("<script>x", ""), ("a < b &lt; c", "a < b < c")])
 def test_small_pages(page, text):
     assert html_paths.main_text(page) == text
