@@ -190,7 +190,7 @@ TILE_KEYS = ["bucket", "left", "right"]
 
 def _tile_pairs(rows: dict[str, np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, other rows, equal minima) between components in one tile: pairs that meet first in this band and may be similar."""
-    sig, label, block = rows["sig"], rows["label"], rows["block"]
+    sig, bands, label, block = rows["sig"], rows["bands"], rows["label"], rows["block"]
     left, right, band = (int(rows[c][0]) for c in ("left", "right", "band_no"))
     cols = np.flatnonzero(block == right)
     for i in np.flatnonzero(block == left):
@@ -198,11 +198,11 @@ def _tile_pairs(rows: dict[str, np.ndarray], least: int) -> Iterator[tuple[int,
         js = js[label[js] != label[i]]
         if not len(js):
             continue
-        same = sig[js] == sig[i]
-        met = same.sum(axis=1)
-        js, same, met = js[met >= least], same[met >= least], met[met >= least]
+        met = (sig[js] == sig[i]).sum(axis=1)
+        js, met = js[met >= least], met[met >= least]
         if band and len(js):
-            new = ~same[:, : band * ROWS].reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+            # by the keys themselves: remnants of minima may agree where the keys don't
+            new = ~(bands[js, :band] == bands[i, :band]).any(axis=1)
             js, met = js[new], met[new]
         if len(js):
             yield i, js, met
@@ -230,7 +230,8 @@ def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     out = {c: t.column(c).to_numpy() for c in (*TILE_KEYS, "id", "label", "block", "band_no")}
-    return out | {"sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)}
+    bands = t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    return out | {"sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES), "bands": bands}
 
 
 def _active(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -329,11 +330,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     # (c) between the components that are left in a bucket
     named = member.join(labels, "id", "left").select("bucket", "band_no", "id", "size", F.coalesce("component", "id").alias("label"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    tile = named.join(mixed, "bucket", "left_semi").join(sigs, "id")
+    tile = named.join(mixed, "bucket", "left_semi").join(reps, "id")
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     tile = tile.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tile = tile.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band_no", "id", "label", "block", "sig")
-    kind = "bucket bigint, left int, right int, band_no int, id bigint, label bigint, block int, sig binary"
+    tile = tile.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band_no", "id", "label", "block", "sig", "bands")
+    kind = "bucket bigint, left int, right int, band_no int, id bigint, label bigint, block int, sig binary, bands array<bigint>"
     active = ws.save(tile.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id").mapInArrow(lambda it: _active(it, least), kind), "active")
     full = active.join(sets, "id").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id")
     more = ws.save(full.mapInArrow(lambda it: _tile_links(it, least, percent), "u bigint, v bigint"), "links-c")

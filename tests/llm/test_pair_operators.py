@@ -101,6 +101,15 @@ def test_a_crowded_bucket_is_compared_in_tiles(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_a_pair_is_compared_where_it_meets_first():
+    # equal remnants in all bands, equal keys in bands 1 and 2 only
+    keys = np.arange(2 * minhash.BANDS).reshape(2, -1)
+    keys[1, 1:3] = keys[0, 1:3]
+    rows = {"sig": np.zeros((2, minhash.HASHES), np.uint8), "bands": keys, "label": np.arange(2), "block": np.zeros(2, int), "left": np.zeros(2, int), "right": np.zeros(2, int)}
+    found = [len(list(minhash._tile_pairs(rows | {"band_no": np.full(2, b)}, 1))) for b in (1, 2)]
+    assert found == [1, 0]
+
+
 # --- 9: vectors ---------------------------------------------------------------
 
 
