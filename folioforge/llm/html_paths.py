@@ -5,10 +5,10 @@ root. For each path the operator sums text length, punctuation and link text
 over its nodes; the ratios per node tell prose from menus and captions. Each
 node's path score is smoothed over its neighbours in page order and fused with
 the unsmoothed one; nodes above a threshold that follows from the spread of the
-scores are content. The element that holds the content is then taken whole, but
-for parts that are marked as something else (menus, forms, notices, adverts,
+scores are content. The element that holds all the content (or all articles, if
+they hold half of it) is then taken whole, but for parts that are marked as something else (menus, forms, notices, adverts,
 comments and the like). Where no element but the page itself holds it, items of
-link lists without words of their own are left out too.
+link lists without words of their own and blocks of links alone are left out too.
 
 One narrow pass over the pages; no shuffle, and a page is the unit of memory.
 
@@ -164,23 +164,52 @@ def path_scores(nodes: list[tuple[_Node, int, str]]) -> np.ndarray:
 
 
 def _links_alone(nodes: list[tuple[_Node, int, str]]) -> set[_Node]:
-    """Elements whose text is left out outside a content element: items without words of their own in lists that are links for the most part."""
+    """Elements whose text is left out where there is no content element: list items without words of their own in lists that are links for the most part, and other blocks of links alone."""
     sums: dict[_Node, list[int]] = {}
-    lists: dict[_Node, list[int]] = {}
-    part: dict[_Node, tuple[_Node, _Node]] = {}
+    part: dict[_Node, tuple[_Node, _Node | None]] = {}
     for node, _, text in nodes:
         item = node
         while item is not None and item.tag != "li":
             item = item.parent
-        if item is None or item.parent is None:
-            continue
-        part[node] = (item, item.parent)
+        if item is None:
+            item = node
+            while item.parent is not None and item.tag not in BLOCK:
+                item = item.parent
+        part[node] = (item, item.parent if item.tag == "li" else None)
         n = sum(map(str.isalnum, text))
-        for table, key in ((sums, item), (lists, item.parent)):
-            s = table.setdefault(key, [0, 0])
-            s[0] += n
-            s[1] += n * node.link
-    return {node for node, (item, whole) in part.items() if sums[item][0] == sums[item][1] and 2 * lists[whole][1] > lists[whole][0]}
+        for key in part[node]:
+            if key is not None:
+                s = sums.setdefault(key, [0, 0])
+                s[0] += n
+                s[1] += n * node.link
+    out = set()
+    for node, (item, whole) in part.items():
+        n, linked = sums[item]
+        if linked and n == linked and (2 * sums[whole][1] > sums[whole][0] if whole is not None else item.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
+            out.add(node)
+    return out
+
+
+def _content_elements(nodes: list[tuple[_Node, int, str]], weights: np.ndarray) -> set[_Node]:
+    """All outermost articles (or main elements) if they hold half of the content, or the deepest element that holds all of it."""
+    holds: dict[_Node, float] = {}
+    for (node, _, text), n in zip(nodes, weights.tolist(), strict=True):
+        if not text.strip():
+            continue
+        while node is not None:
+            holds[node] = holds.get(node, 0.0) + n
+            node = node.parent
+    total = weights.sum()
+    for tag in ("article", "main"):
+        roots = {n for n in holds if n.tag == tag and f"/{tag}/" not in f"{n.parent.path}/"}
+        if roots and sum(holds[n] for n in roots) >= 0.5 * total:
+            return roots
+    root = max((n for n, x in holds.items() if x == total), key=lambda n: n.depth)
+    while root.parent is not None and root.tag not in BLOCK:
+        root = root.parent
+    if root.tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
+        root = root.parent
+    return {root}
 
 
 def main_text(page: str | None) -> str:
@@ -194,31 +223,19 @@ def main_text(page: str | None) -> str:
     full = score[length > 0]
     # the spread sets the threshold; on a page of equal nodes there is none, and all are content
     content = (score >= min(full.std(), full.max())) & (length > 0)
-    total = length[content].sum()
-    holds: dict[_Node, float] = {}
-    for (node, _, _), n in zip(nodes, np.where(content, length, 0), strict=True):
-        while node is not None and n:
-            holds[node] = holds.get(node, 0.0) + n
-            node = node.parent
-    best = [n for n, x in holds.items() if x >= 0.5 * total and n.tag in CONTENT_TAGS] or [n for n, x in holds.items() if x >= 0.9 * total]
-    root = max(best, key=lambda n: n.depth, default=None)
-    if root is not None and root.tag not in BLOCK:
-        while root.parent is not None and root.tag not in BLOCK:
-            root = root.parent
-    if root is not None and root.tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6"):
-        root = root.parent
+    roots = _content_elements(nodes, np.where(content, length, 0))
+    # elements of content are taken whole; of a page without one, all but links that stand alone
+    alone = _links_alone(nodes) if any(n.tag in ("", "html", "body") for n in roots) else set()
+    inside: dict[_Node, bool] = {}
     blocks: dict[int, list[str]] = {}
-    whole = root is not None and root.tag not in ("", "html", "body")
-    alone = set() if whole else _links_alone(nodes)
-    for (node, block, text), ok in zip(nodes, content, strict=True):
-        if node in alone:
-            continue
-        up = node
-        while up is not None and up is not root:
-            up = up.parent
-        if up is None or not whole and not ok and text.strip() and not re.search(r"/(h[1-6]|p)(/|$)", node.path):
-            continue
-        blocks.setdefault(block, []).append(text)
+    for node, block, text in nodes:
+        if node not in inside:
+            up = node
+            while up is not None and up not in roots:
+                up = up.parent
+            inside[node] = up is not None and node not in alone
+        if inside[node]:
+            blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 

@@ -47,6 +47,16 @@ def test_links_in_lists_of_the_article_remain():
     assert html_paths.main_text(loose) == "A first paragraph, long enough to be prose.\nSee also, in short."
 
 
+LONG = "A sentence of some length, with a comma; and it goes on. " * 40
+
+
+@pytest.mark.parametrize("page", ["<body><div id=content><div class=part>{a}</div><div class=part>{b}</div></div></body>", "<body><article><p>{a}</p></article><article><p>{b}</p></article></body>", "<body><p>{a}</p><table><tr><td>{b}</table></body>", "<body><p>{a}</p><ul><li>one</ul><p>x, y.</p><blockquote>{b}</blockquote></body>"])
+def test_short_parts_beside_long_ones_remain(page):
+    short = "A short part, also prose."
+    text = html_paths.main_text(page.format(a=LONG, b=short))
+    assert text.startswith(LONG.strip()) and text.endswith(short)
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>Hello", "Hello"), ("text only", "text only"), ("<div><div>One block, only.</div></div>", "One block, only."), ("<!-- <p>x</p>", ""), ("<script>x", ""), ("a < b &lt; c", "a < b < c")])
 def test_small_pages(page, text):
     assert html_paths.main_text(page) == text
