@@ -3,13 +3,15 @@
 1. One pass makes, for each document, a digest of its word sequence, its number
    of distinct word shingles, the minima of many universal hash functions over
    them, and a key for each band of those minima.
-2. Documents with the same words become one class, stood for by its least id.
+2. Documents with the same words become one class.
 3. Classes that share a band key meet in a bucket. Links are looked for in three
    steps, so that no bucket is ever expanded into all its pairs: (a) each class
    with the least class of the bucket it meets most often; (b) the other pairs of
    a class and the least of its buckets, where components still differ; (c) in
    buckets that still hold several components, the pairs between those, compared
-   by signature in tiles of bounded size; the members that have a pair whose
+   by signature in tiles of bounded size: a component with many members in a
+   bucket has blocks of its own, which never meet each other, and the others share
+   blocks; the members that have a pair whose
    signatures leave 0.8 possible meet again with their full sets, and each tile
    returns only links that join components.
 4. Every link is confirmed on the full shingle sets. Components come from
@@ -19,13 +21,15 @@ A pair at the threshold exactly escapes all bands with probability
 (1 - 0.8^6)^42 = 3e-6, and fails the signature test with about the same.
 
 Words are maximal runs of non-space bytes, with A-Z in lower case. A shingle is
-held as a 64-bit hash of its words.
+held as a 64-bit hash of its words. A class has a number of its own, so rows that
+share an id but not their words are told apart.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and link with nothing; with fewer words than a shingle has, the whole
 sequence is the one shingle. A row with a null id is kept, links with nothing
-and has a null component. Repeated rows give repeated results. Other columns are
-not read. An empty table gives no rows.
+and has a null component. Rows are the vertices: of rows that share an id, each
+links by its own text and has the least id that it reaches. Repeated rows give
+repeated results. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -163,10 +167,14 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, shingles) of the rows whose words have the digest ``key``."""
     for batch in batches:
         for a, b, texts in text_slices(batch, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(*utf8(texts), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            data, offsets = utf8(texts)
+            whole, keys = data.tobytes(), batch.column("key").slice(a, b - a).to_pylist()
+            own = pa.array([_sequence_digest(whole[offsets[d] : offsets[d + 1]]) == key for d, key in enumerate(keys)], pa.bool_())
+            sets = [s.view(np.int64) for s in shingle_sets(data, offsets, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a).filter(own), pa.array(sets, pa.list_(pa.int64())).filter(own)], ["id", "shingles"])
 
 
 def least_match(percent: int) -> int:
@@ -289,23 +297,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _tiles(named: DataFrame) -> DataFrame:
+    """Members (bucket, band_no, id, label) of buckets with several components, once for each tile that they are in, with (left, right, block).
+
+    A tile is a pair of blocks. A component with more than ``TILE`` members in a bucket has
+    blocks of its own, the others share blocks; two blocks of one component make no tile. So
+    a bucket of one large component and a few others gives about as many rows as it has members.
+    """
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= TILE, F.col("n"))).alias("few")).filter("labels > 1")
+    large = sizes.filter(F.col("n") > TILE).join(mixed.select("bucket"), "bucket").select("bucket", F.col("label").alias("own"), F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    shared = mixed.filter("few is not null").select("bucket", F.lit(-1).cast("bigint").alias("own"), F.ceil(F.col("few") / TILE).cast("int").alias("parts"))
+    groups = large.unionByName(shared)
+    rows = named.join(mixed.select("bucket"), "bucket").join(large.withColumnRenamed("own", "label"), ["bucket", "label"], "left")
+    rows = rows.withColumn("own", F.when(F.col("parts").isNull(), F.lit(-1).cast("bigint")).otherwise(F.col("label"))).drop("parts")
+    rows = rows.join(groups, ["bucket", "own"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    others = groups.select("bucket", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part"))
+    met = rows.join(others, "bucket").filter((F.col("own") != F.col("other")) | (F.col("own") == -1))
+    # two blocks whose hashes agree would only be compared once more than needed
+    met = met.withColumn("block", F.xxhash64("own", "part")).withColumn("with", F.xxhash64("other", "other_part"))
+    return met.select("bucket", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "band_no", "id", "label", "block")
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     least = least_match(percent)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = ws.save(texts.mapInArrow(lambda it: _features(it, k), "doc_id bigint, n bigint, key binary, sig binary, bands array<bigint>"), "features")
+    # the numbers of the classes are fixed once they are written
     classes = found.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = ws.save(classes, "classes")
-    # one row per class; an id may come in several rows
-    reps = found.join(classes, (found["doc_id"] == classes["rep"]) & (found["key"] == classes["key"]), "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"])
+    classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # one row per class; a row may be repeated
+    reps = found.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "key"]).select("id", "rep", "key", "sig", "bands").dropDuplicates(["id"])
     reps = ws.save(reps, "representatives")
     member = reps.select("id", F.posexplode("bands").alias("band_no", "bucket"))
     buckets = member.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    member = ws.save(member.join(buckets, "bucket"), "members")
+    member = ws.save(member.join(buckets.drop("size"), "bucket"), "members")
     stars = ws.save(member.filter("id != least").groupBy(F.col("id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("met")), "stars")
-    ids = ws.save(member.select("id").distinct(), "candidates")
+    ids = ws.save(member.select("id").distinct().join(reps.select("id", "rep", "key"), "id"), "candidates")
     few = ids.count() <= BROADCAST_IDS
-    source = texts.withColumnRenamed("doc_id", "id").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    source = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(ids) if few else ids, "rep").select("id", "key", "text")
     sets = ws.save(source.mapInArrow(lambda it: _sets(it, k), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
     sigs = reps.select("id", "sig")
 
@@ -315,6 +346,13 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
         two = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
+    def joined(labels: DataFrame, more: DataFrame, name: str) -> DataFrame:
+        """Labels after joining components by more links."""
+        if more.isEmpty():
+            return labels
+        known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        return ws.save(connected_components(known.unionByName(more), ws), name)
+
     # (a) the least class that a class meets most often
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b"))
     links = ws.save(_confirm(best, sets, percent), "links-a")
@@ -323,26 +361,19 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     rest = with_labels(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
     rest = rest.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     rest = ws.save(rest.mapInArrow(lambda it: _similar(it, least), "a bigint, b bigint"), "pairs-b")
-    more = ws.save(_confirm(rest, sets, percent), "links-b")
-    star_edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    if not more.isEmpty():
-        labels = ws.save(connected_components(star_edges.unionByName(more), ws), "labels-b")
+    labels = joined(labels, ws.save(_confirm(rest, sets, percent), "links-b"), "labels-b")
     # (c) between the components that are left in a bucket
-    named = member.join(labels, "id", "left").select("bucket", "band_no", "id", "size", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    tile = named.join(mixed, "bucket", "left_semi").join(reps, "id")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    tile = tile.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tile = tile.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "band_no", "id", "label", "block", "sig", "bands")
-    kind = "bucket bigint, left int, right int, band_no int, id bigint, label bigint, block int, sig binary, bands array<bigint>"
+    named = member.join(labels, "id", "left").select("bucket", "band_no", "id", F.coalesce("component", "id").alias("label"))
+    tile = _tiles(named).join(reps.select("id", "sig", "bands"), "id").select(*TILE_KEYS, "band_no", "id", "label", "block", "sig", "bands")
+    kind = "bucket bigint, left bigint, right bigint, band_no int, id bigint, label bigint, block bigint, sig binary, bands array<bigint>"
     active = ws.save(tile.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id").mapInArrow(lambda it: _active(it, least), kind), "active")
     full = active.join(sets, "id").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id")
-    more = ws.save(full.mapInArrow(lambda it: _tile_links(it, least, percent), "u bigint, v bigint"), "links-c")
-    star_edges = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    if not more.isEmpty():
-        labels = ws.save(connected_components(star_edges.unionByName(more), ws), "labels-c")
+    labels = joined(labels, ws.save(full.mapInArrow(lambda it: _tile_links(it, least, percent), "u bigint, v bigint"), "links-c"), "labels-c")
     ws.drop(sets, member, reps)
-    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("key", F.coalesce("component", "rep").alias("c"))
+    # the least id of each component; a class without links stands for itself
+    linked = classes.join(labels, "id")
+    names = linked.groupBy("component").agg(F.min("rep").alias("c"))
+    named = ws.save(classes.join(linked.join(names, "component").select("id", "c"), "id", "left").select("key", F.coalesce("c", "rep").alias("c")), "names")
     out = found.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -85,6 +85,40 @@ def test_near_duplicates_against_all_pairs(spark, k):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_rows_that_share_an_id_link_by_their_own_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda words: " ".join(words[:-1])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (5, near(base)), (6, near(other)), (7, "alone by itself"), (7, near(base))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, Workspace(spark, "t"), k=4).collect())
+    assert got == [(1, 57, 1, True), (1, 57, 1, True), (5, 56, 1, False), (6, 56, 1, False), (7, 1, 7, True), (7, 56, 1, False)]
+
+
+def test_no_pair_at_the_threshold_is_lost():
+    # 2,000 pairs at 0.8 exactly: each meets in a band and passes the signature test
+    rng = np.random.default_rng(5)
+    _, _, _, _, multipliers = minhash._tables()
+    least = minhash.least_match(80)
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        a, b = minhash.signature(x[:81]), minhash.signature(x[9:])
+        assert (a.reshape(minhash.BANDS, -1) == b.reshape(minhash.BANDS, -1)).all(axis=1).any()
+        assert ((a & 0xFF) == (b & 0xFF)).sum() >= least
+
+
+def test_tiles_of_a_bucket_with_one_large_component(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    rows = [(1, 0, i, 0 if i < 800 else i) for i in range(803)] + [(2, 1, i, 0) for i in range(50)]
+    named = spark.createDataFrame(rows, "bucket bigint, band_no int, id bigint, label bigint")
+    tiles = minhash._tiles(named)
+    met = tiles.groupBy("bucket", "left", "right").agg(F.collect_set("label").alias("labels"), F.collect_list("id").alias("ids")).collect()
+    pairs = {frozenset((a, b)) for r in met for a in r["ids"] for b in r["ids"]}
+    assert all(frozenset((i, j)) in pairs for i in range(803) for j in range(800, 803))
+    # not 100 x 100 blocks
+    assert tiles.count() <= 800 + 3 * 101 and all(r["bucket"] == 1 for r in met)
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(docs, Workspace(spark, "t")).collect() == []
