@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +78,60 @@ def test_extract_rows(spark):
     assert html_paths.extract(rows.limit(0)).collect() == []
 
 
+PROSE = "<p>A first paragraph, long enough to be prose; it goes on and on, as prose does, with commas. And more.</p><p>Second one, about as long as the first; it goes on. Sentences follow, one after the other.</p>"
+TEXT = html_paths.main_text(f"<article>{PROSE}</article>")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # marks on what holds the article refute themselves
+        (f'<nav><a href=x>Home</a></nav><div class="with-sidebar"><article><h1>T</h1>{PROSE}</article></div><div class="ad">Buy now, cheap, best.</div><footer>c 2024, all.</footer>', f"T\n{TEXT}"),
+        (f'<div id="post-comment-system-design"><h1>T</h1>{PROSE}</div><div class="comments">{PROSE}{PROSE}</div>', f"T\n{TEXT}"),
+        (f'<form id=page><div class=top-menu><a href=a>a</a></div><h1>T</h1>{PROSE}</form>', f"T\n{TEXT}"),
+        # words among others hardly weigh, titles of boxes do
+        (f'<article><h1>T</h1><section class="related-work"><h2>Related work</h2>{PROSE}</section></article>', f"T\nRelated work\n{TEXT}"),
+        (f"<article><h1>T</h1>{PROSE}<div><h3>Popular</h3><ul><li><a href=x>One post</a></li></ul></div></article>", f"T\n{TEXT}"),
+        (f"<article><h1>T</h1>{PROSE}<div><h3>Latest posts</h3><ul><li>One post, here</li></ul></div></article>", f"T\n{TEXT}"),
+        (f"<main><article><h1>A</h1>{PROSE}</article><article><h1>B</h1><p>Short.</p></article></main>", f"A\n{TEXT}\nB\nShort."),
+        (f"<article>{PROSE}<ul><li><a href=x>Ref one</a></li><li><a href=y>Ref two</a></li></ul></article>", f"{TEXT}\nRef one\nRef two"),
+        ("<div>" * 300 + f"<nav><a href=x>menu</a> words of a menu</nav>{PROSE}" + "</div>" * 300, TEXT),
+        (f'<header><h1>Site</h1></header><main><h1>T</h1><article>{PROSE}</article><section class="comments"><article>{PROSE}</article></section></main><aside>{PROSE}</aside>', f"T\n{TEXT}"),
+        ("<nav><a href=x>Home</a></nav><footer>c 2024, all.</footer>", ""),
+    ],
+)
+def test_marks_weigh(page, text):
+    assert html_paths.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_sample_pages_against_a_plain_parser():
+    # every sample page has one article; the ratios must find it, nothing else says what is to be dropped
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for page in pages:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page["html"], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|ul|li)[^<>]*>", re.sub(r"<br[^<>]*>", " ", inner))
+        lines = (" ".join(html.unescape(re.sub(r"<[^<>]*>", "", x)).split()) for x in blocks)
+        assert html_paths.main_text(page["html"]) == "\n".join(x for x in lines if x)
+
+
+def test_ratios_decide(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    before = [html_paths.main_text(p["html"]) for p in pages]
+    monkeypatch.setattr(html_paths, "path_scores", lambda nodes: np.ones(len(nodes)))
+    assert sum(html_paths.main_text(p["html"]) != x for p, x in zip(pages, before, strict=True)) > len(pages) / 2
+
+
+def test_path_ratios_against_sums_by_hand():
+    elements, nodes = html_paths.parse("<div><p>One, two.</p><p>Three <a>four</a>.</p></div><div><p>Five!</p></div>")
+    html_paths._weigh(elements, nodes)
+    sums = {"p": (len("One, two.") + len("Three") + len(".") + len("Five!"), 4, 4), "a": (4, 0, 1)}
+    raw = [0.0 if n.tag == "a" else np.log1p(sums["p"][0] / sums["p"][2]) * np.log1p(1 + sums["p"][1] / sums["p"][2]) for n, _, _ in nodes]
+    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+    padded = [raw[0]] * 2 + raw + [raw[-1]] * 2
+    fused = [np.sqrt(raw[i] * sum(padded[i + j] * kernel[j] for j in range(5)) / kernel.sum()) for i in range(len(raw))]
+    assert np.allclose(html_paths.path_scores(nodes), fused)
+
+
 # --- 2: licence scan ----------------------------------------------------------
 
 
