@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset
-(tests on one machine) a temporary folder is made and set in its place.
+and everything runs in one process on one machine (tests) a temporary folder is
+made and set in its place; on a cluster an unset folder is an error, as executors
+would not share it.
 Everything is written and removed through Spark's own file system classes, so
 any store that Spark can reach will do.
 """
@@ -9,6 +11,7 @@ any store that Spark can reach will do.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="folioforge-")
     spark.sparkContext.setCheckpointDir(_LOCAL["dir"])
