@@ -7,6 +7,7 @@ bounded sample of labelled rows. A part of the sample that the descent doesn't
 see sets the softmax's temperature, and the limits below which a text is
 rejected: too little probability for any language, or too few known n-grams.
 
+Every language that occurs is learned; the sample's bounds are those of ``Fit``.
 Everything but that fit covers all rows and whole texts. Scoring is one narrow
 pass: no shuffle; the model, of fixed size, is broadcast.
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.columns import text_slices
@@ -39,8 +40,8 @@ class Fit:
     """Bounds of the sample and of the descent."""
 
     rows_per_language: int = 600
-    max_languages: int = 200
-    max_chars: int = 20_000  # longer texts aren't sampled, so that the sample is bounded
+    max_rows: int = 20_000  # of all languages together, but one of each at least
+    max_chars: int = 6_000  # of a longer text as many from a place that its id decides
     window: int = 160  # each sampled text is also shown by windows of this many characters
     windows: int = 3
     epochs: int = 6
@@ -51,7 +52,8 @@ class Fit:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    table: np.ndarray  # (2**BITS + 1, languages): embeddings times the linear layer
+    table: np.ndarray  # (2**BITS + 1, columns): embeddings times the linear layer, or embeddings alone
+    layer: np.ndarray | None  # (columns, languages) if the table has embeddings alone, as for many languages
     bias: np.ndarray
     known: np.ndarray  # (2**BITS + 1): buckets seen in training
     temperature: float
@@ -65,17 +67,23 @@ def held_out(id_col: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit: Fit) -> list[tuple[str, str]]:
-    """(text, language) of a bounded sample in hash order of the id; about the same number for each language."""
+    """(text, language) of a bounded sample in hash order of the id; about the same number for each language, of which the driver holds one row each."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
     rows = rows.filter(F.col("i").isNotNull() & F.col("g").isNotNull() & ~held_out(F.col("i")))
-    counts = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(fit.max_languages).collect()
+    rows = rows.filter(F.col("t").isNotNull())
+    counts = rows.groupBy("g").count().orderBy("g").collect()  # a number for each language
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["g"], min(1.0, 1.3 * fit.rows_per_language / r["count"]))))
-    key = F.xxhash64("i")
-    rows = rows.filter((F.pmod(key, F.lit(1 << 20)) / float(1 << 20) < F.coalesce(share[F.col("g")], F.lit(0.0))) & F.col("t").isNotNull() & (F.length("t") <= fit.max_chars))
-    top = rows.orderBy(key, "i", "t").limit(fit.rows_per_language * len(counts) * 2).collect()
-    return [(r["t"], r["g"]) for r in top]
+    wanted = max(1, min(fit.rows_per_language, fit.max_rows // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["g"], min(1.0, (1.3 * wanted + 8) / r["count"])) for r in counts], "g string, share double")
+    key = F.xxhash64("i", "t")
+    rows = rows.join(F.broadcast(share), "g").filter(F.pmod(key, F.lit(1 << 20)) / float(1 << 20) <= F.col("share"))
+    spare = F.length("t") - fit.max_chars
+    piece = F.when(spare > 0, F.substr("t", (F.pmod(F.xxhash64(key), F.greatest(spare, F.lit(1))) + 1).cast("int"), F.lit(fit.max_chars))).otherwise(F.col("t"))
+    order = Window.partitionBy("g").orderBy("key", "i", "piece")
+    rows = rows.select("g", "i", key.alias("key"), piece.alias("piece")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * wanted)
+    top = rows.orderBy("key", "i", "piece").select("piece", "g").toArrow()
+    return list(zip(top.column("piece").to_pylist(), top.column("g").to_pylist(), strict=True))
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -94,6 +102,7 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     languages = sorted({g for _, g in rows})
     if not languages:
         return None
+    number = {g: k for k, g in enumerate(languages)}
     rng = np.random.default_rng(7)
     order = rng.permutation(len(rows))
     texts, labels, calibration = [], [], []
@@ -105,7 +114,7 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
             calibration += [(x, g) for x in parts]
         else:
             texts += parts
-            labels += [languages.index(g)] * len(parts)
+            labels += [number[g]] * len(parts)
     data = bags(texts)
     size, n = 1 << BITS, len(languages)
     e = rng.normal(0, 1 / DIM, (size + 1, DIM)).astype(np.float32)
@@ -131,11 +140,12 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     known = np.zeros(size + 1, bool)
     for at, _ in data:
         known[at] = True
-    model = Model(languages, np.ascontiguousarray(e @ w), b, known, 1.0, 0.0, 0.0)
+    table, layer = (e @ w, None) if n <= DIM else (e, w)
+    model = Model(languages, np.ascontiguousarray(table), layer, b, known, 1.0, 0.0, 0.0)
     if not calibration:
         return model
     z, share, _ = logits(model, [t for t, _ in calibration])
-    truth = np.array([languages.index(g) for _, g in calibration])
+    truth = np.array([number[g] for _, g in calibration])
 
     def nll(t: float) -> float:
         s = z / t
@@ -147,7 +157,7 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     right = p.argmax(axis=1) == truth
     if not right.any():
         return model
-    return Model(languages, model.table, b, known, float(temperature), float(min(0.4, np.quantile(p.max(axis=1)[right], fit.lost))), float(0.9 * np.quantile(share[right], fit.lost)))
+    return Model(languages, model.table, layer, b, known, float(temperature), float(min(0.4, np.quantile(p.max(axis=1)[right], fit.lost))), float(0.9 * np.quantile(share[right], fit.lost)))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -158,9 +168,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scores of each language, share of known n-grams, letters) of each text."""
     points, offsets, letters = normal_points(texts, digits=False)
-    total = np.zeros((len(texts), len(model.languages)))
+    total = np.zeros((len(texts), model.table.shape[1]))
     grams, known = np.zeros(len(texts)), np.zeros(len(texts))
-    columns = [np.ascontiguousarray(model.table[:, k]) for k in range(len(model.languages))]
+    columns = [np.ascontiguousarray(c) for c in model.table.T]
     for n in SIZES:
         at = gram_buckets(points, offsets, n, BITS)
         for k, column in enumerate(columns):
@@ -168,7 +178,8 @@ def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
         grams += np.add.reduceat(at < 1 << BITS, offsets[:-1], dtype=np.int64)
         known += np.add.reduceat(model.known[at], offsets[:-1], dtype=np.int64)
     grams = np.maximum(grams, 1)
-    return total / grams[:, None] + model.bias, known / grams, letters
+    mean = total / grams[:, None]
+    return (mean if model.layer is None else mean @ model.layer) + model.bias, known / grams, letters
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit: Fit = Fit(), keep: tuple[str, ...] = ()) -> DataFrame:
