@@ -4,9 +4,12 @@ A text is the set of its hashed character n-grams. The log ratio of an n-gram's
 (smoothed) rates in toxic and other sampled texts scales its feature; a logistic
 regression with a quadratic penalty then weighs the scaled features (the NB-SVM
 construction of Wang and Manning, with a logistic loss). N-grams that don't tell
-the classes apart are left out by a likelihood-ratio test on the sample.
+the classes apart are left out by a likelihood-ratio test on the sample; all
+others are features, however many.
 
-The fit runs in numpy on the driver on a bounded sample of labelled rows.
+The fit runs in numpy on the driver on a bounded sample of labelled rows, which
+it reads in slices: what it holds is the sample, a few arrays over the buckets,
+and four bytes for each feature of each text.
 Scoring covers every row and whole texts in one narrow pass: no shuffle; the
 model, of fixed size, is broadcast.
 
@@ -40,7 +43,6 @@ class Fit:
     toxic_rows: int = 2000
     other_rows: int = 4000
     max_chars: int = 20_000  # longer texts aren't sampled, so that the sample is bounded
-    features: int = 4000
     least_ratio: float = 12.0  # of the likelihood-ratio test
     smoothing: float = 0.5
     penalty: float = 2e-4
@@ -53,7 +55,7 @@ class Model:
     bias: float
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit: Fit) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit: Fit) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of a bounded sample in hash order of the id."""
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
     key = F.xxhash64("i")
@@ -61,53 +63,72 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     ids = known.filter("y = 1").orderBy(key, "i").limit(2 * fit.toxic_rows).unionByName(known.filter("y = 0").orderBy(key, "i").limit(2 * fit.other_rows)).distinct()
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= fit.max_chars))
     rows = texts.join(F.broadcast(ids), "i")
-    out = []
-    for y, n in ((1, fit.toxic_rows), (0, fit.other_rows)):
-        out += [(r["t"], y) for r in rows.filter(F.col("y") == y).orderBy(key, "i", "t").limit(n).collect()]
-    return [t for t, _ in out], np.array([y for _, y in out], np.float64)
+    parts = [rows.filter(F.col("y") == y).orderBy(key, "i", "t").limit(n).select("t").toArrow().column("t") for y, n in ((1, fit.toxic_rows), (0, fit.other_rows))]
+    y = np.repeat([1.0, 0.0], [len(x) for x in parts])
+    return pa.chunked_array([c for x in parts for c in x.chunks], pa.string()).combine_chunks(), y
 
 
-def grams(text: str) -> np.ndarray:
-    """Distinct buckets of a text."""
-    points, offsets, _ = normal_points([text], digits=True)
-    at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
-    return np.unique(at[at < 1 << BITS])
+def distinct_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a text, bucket) of each distinct n-gram of each text, in order of the texts."""
+    points, offsets, _ = normal_points(texts, digits=True)
+    keys = []
+    for n in SIZES:
+        at = gram_buckets(points, offsets, n, BITS)
+        where = np.flatnonzero(at < 1 << BITS)
+        keys.append((np.searchsorted(offsets, where, "right") - 1 << BITS) + at[where])
+    keys = np.unique(np.concatenate(keys))
+    return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def train(texts: list[str], y: np.ndarray, fit: Fit) -> Model | None:
+def train(texts: pa.Array, y: np.ndarray, fit: Fit) -> Model | None:
     """Log-count ratios, choice of features, regression; None without both classes."""
     toxic, other = y.sum(), len(y) - y.sum()
     if not toxic or not other:
         return None
     size = 1 << BITS
-    p, q = np.zeros(size), np.zeros(size)
-    for text, label in zip(texts, y, strict=True):
-        (p if label else q)[grams(text)] += 1
-    a = fit.smoothing
-    ratio = np.log((p + a) / (toxic + 2 * a)) - np.log((q + a) / (other + 2 * a))
+
+    def slices() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        # made again rather than kept: all n-grams of the sample would not fit a small driver
+        for a, _, part in text_slices(pa.record_batch([texts], ["t"]), "t", 1 << 16):  # short enough to be sorted in the cache
+            yield a, *distinct_grams(part.to_pylist())
+
+    p, q = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for a, doc, at in slices():
+        label = y[a + doc] > 0
+        p += np.bincount(at[label], minlength=size).astype(np.int32)
+        q += np.bincount(at[~label], minlength=size).astype(np.int32)
+    chosen = np.flatnonzero(np.maximum(p, q) >= 3)
+    p, q, a = p[chosen].astype(np.float64), q[chosen].astype(np.float64), fit.smoothing
+    rate = (p + q) / len(y)
     with np.errstate(divide="ignore", invalid="ignore"):
-        rate = (p + q) / len(y)
         test = 2 * sum(np.nan_to_num(k * np.log(k / m)) for k, m in ((p, rate * toxic), (toxic - p, (1 - rate) * toxic), (q, rate * other), (other - q, (1 - rate) * other)))
-    test[np.maximum(p, q) < 3] = 0
-    chosen = np.argsort(-test, kind="stable")[: fit.features]
-    chosen = chosen[test[chosen] >= fit.least_ratio]
-    place = np.full(size + 1, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    r = ratio[chosen]
-    # made again rather than kept: all n-grams of the sample would not fit a small driver
-    cols = [(c := place[grams(text)])[c >= 0] for text in texts]
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in cols])
+    r = np.log((p + a) / (toxic + 2 * a)) - np.log((q + a) / (other + 2 * a))
+    chosen, r = chosen[test >= fit.least_ratio], r[test >= fit.least_ratio]
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    cols, counts = [], np.zeros(len(y), np.int64)
+    for a, doc, at in slices():
+        col = place[at]
+        cols.append(col[col >= 0])
+        counts += np.bincount(a + doc[col >= 0], minlength=len(y))
     col = np.concatenate(cols)
-    value = r[col]
-    # accelerated gradient descent on the mean logistic loss; the step follows from the largest row
-    norm = np.bincount(row, value * value, len(y)).mean() + 1
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    # texts in runs of about a million features, so that what is made of them stays small
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20)), [len(y)]]))
+    runs = [(i, j, col[ends[i] : ends[j]], np.repeat(np.arange(j - i), counts[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
+    # accelerated gradient descent on the mean logistic loss; the step follows from the mean square of a text
+    norm = sum((r[c] ** 2).sum() for _, _, c, _ in runs) / len(y) + 1
     w, b = np.zeros(len(chosen)), float(np.log(toxic / other))
     v, vb, step = w.copy(), b, 4.0 / (4 * norm)
     for k in range(fit.rounds):
-        z = np.bincount(row, value * v[col], len(y)) + vb
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        new = v - step * (np.bincount(col, value * err[row], len(chosen)) + fit.penalty * v)
-        new_b = vb - step * err.sum() * norm / 4
+        weighed, back, err_sum = v * r, np.zeros(len(chosen)), 0.0
+        for i, j, c, row in runs:
+            z = np.bincount(row, weighed[c], j - i) + vb
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            back += np.bincount(c, err[row], len(chosen))
+            err_sum += err.sum()
+        new = v - step * (back * r + fit.penalty * v)
+        new_b = vb - step * err_sum * norm / 4
         v = new + k / (k + 3) * (new - w)
         vb = new_b + k / (k + 3) * (new_b - b)
         w, b = new, new_b

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -279,3 +280,41 @@ def test_words_are_those_of_the_definition(spark):
     want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     row = spark.range(1).select(license_index.words_of(F.lit(text)).alias("w"), license_index.word_count(F.lit(text)).alias("n")).head()
     assert (row["w"], row["n"]) == (want, len(want))
+
+
+def test_toxicity_against_a_dense_fit():
+    # the same objective over n-grams as strings, minimised by plain gradient descent
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(40)]
+    y = np.array([i % 3 == 0 for i in range(90)], float)
+    texts = [" ".join([*rng.choice(words, 6), *(["Moron,", "IDIOT"] if t and rng.random() < 0.8 else ["kindly"])]) for t in y]
+    fit = toxicity.Fit(rounds=3000)
+    model = toxicity.train(pa.array(texts), y, fit)
+    sets = []
+    for t in texts:
+        plain = " " + "".join(c if c.isalnum() else " " for c in t.lower()) + " "
+        sets.append({plain[i : i + n] for n in toxicity.SIZES for i in range(len(plain) - n + 1)})
+    grams = sorted(set().union(*sets))
+    x = np.array([[g in s for g in grams] for s in sets], float)
+    p, q, toxic, other = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0), y.sum(), len(y) - y.sum()
+    share = (p + q) / len(y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        test = 2 * sum(np.nan_to_num(k * np.log(k / m)) for k, m in ((p, share * toxic), (toxic - p, (1 - share) * toxic), (q, share * other), (other - q, (1 - share) * other)))
+    keep = (test >= fit.least_ratio) & (np.maximum(p, q) >= 3)
+    x = x[:, keep] * (np.log((p + 0.5) / (toxic + 1)) - np.log((q + 0.5) / (other + 1)))[keep]
+    w, b = np.zeros(x.shape[1]), 0.0
+    step = 4 / (np.linalg.eigvalsh(x.T @ x / len(y))[-1] + 1)
+    for _ in range(20_000):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= step * (x.T @ err / len(y) + fit.penalty * w)
+        b -= step * err.mean()
+    assert keep.sum() > 20
+    assert np.abs(toxicity.scores(model, texts) - 1 / (1 + np.exp(-(x @ w + b)))).max() < 0.02
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(4)
+    own = [[chr(0x61 + (7 * k + j * (k % 5 + 1)) % 26) + chr(0x3B1 + (k + j) % 20) for j in range(6)] for k in range(30)]
+    rows = [(i, "".join(rng.choice(own[i % 30], 30)), f"l{i % 30:02}") for i in range(1500)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), keep=("lang",)).toPandas()
+    assert got.lang_pred.nunique() == 30 and (got.lang == got.lang_pred)[got.held_out].mean() > 0.9
