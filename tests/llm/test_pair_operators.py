@@ -197,7 +197,9 @@ def test_leaks(spark):
     kinds = {(r["doc_id"], r["item_id"]): r["kind"] for r in got}
     assert len(got) == len(kinds)
     assert kinds[(0, 1)] == "verbatim" and kinds[(1, 1)] == "re-parameterised"
-    assert set(kinds) <= {(0, 1), (1, 1), (3, 1)}  # (2, 1): one value stands for two
+    # a null id is an id like others: the review of round 1 asks that nothing be skipped for its id
+    assert kinds[(None, 1)] == kinds[(0, None)] == kinds[(None, None)] == "verbatim" and kinds[(1, None)] == "re-parameterised"
+    assert set(kinds) <= {(d, i) for d in (0, 1, 3, None) for i in (1, None)}  # (2, 1): one value stands for two
     assert (2, 1) not in kinds
 
 
@@ -244,7 +246,63 @@ def test_leaks_behind_glued_numbers(spark):
 def test_an_inconsistent_variant_does_not_hide_a_verbatim_copy(spark):
     wrong = QUESTION.replace("120 tickets", "121 tickets")
     found = leaks(spark, [wrong + " And now. " + QUESTION, wrong + " Or this. " + wrong, wrong + " So. " + QUESTION.replace("another", "yet another")], [QUESTION])
-    assert {k: r["kind"] for k, r in found.items()} == {(0, 0): "verbatim", (2, 0): "verbatim"}
+    # the last holds all but one word; the review of round 1 asks that such a match not be called verbatim
+    assert {k: r["kind"] for k, r in found.items()} == {(0, 0): "verbatim", (2, 0): "partial"}
+
+
+def test_an_edited_value_or_word_does_not_hide_an_item(spark):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lam", "ner", "tos", "vik", "zup", "rol", "mid", "sag", "pen", "hut")]
+    item = " ".join(words[:12]) + " 12 apples " + " ".join(words[12:35]) + " 12 apples " + " ".join(words[35:])
+    second = lambda new: new.join(item.rsplit("12 apples", 1))
+    found = leaks(spark, [item, second("several apples"), second("9 apples"), item.replace("12", "7"), second("9 apples").replace("12", "7")], [item])
+    assert {k[0]: (r["kind"], r["n_matched"] < r["n_windows"]) for k, r in found.items()} == {0: ("verbatim", False), 1: ("partial", True), 2: ("partial", True), 3: ("re-parameterised", False)}
+
+
+def test_leaks_of_texts_that_share_an_id(spark):
+    rows = [(1, "nothing of the kind " * 9), (1, "so " + QUESTION), (2, QUESTION), (2, "x " + QUESTION[:70]), (None, QUESTION)]
+    items = spark.createDataFrame([(5, QUESTION), (5, "four little words that nobody wrote in any of the documents here")], "item_id bigint, text string")
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items, Workspace(spark, "t")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["kind"]) for r in got) == [("1", 5, "verbatim"), ("2", 5, "verbatim"), ("None", 5, "verbatim")]
+
+
+def brute_leaks(doc, item, size=8):
+    """Is the item in the document: by trying every offset, for lower-case words and numbers."""
+    split = lambda t: [("#" if w[0].isdigit() else w, w if w[0].isdigit() else None) for w in t.split()]
+    d, q = split(doc), split(item)
+    wins = [i for i in range(len(q) - size + 1) if 2 * sum(v is None for _, v in q[i : i + size]) >= size]
+    good, edited = set(), set()
+    for off in range(-len(q), len(d)):
+        at = [i for i in wins if i + off >= 0 and i + off + size <= len(d) and all(d[i + off + j][0] == q[i + j][0] for j in range(size))]
+        pairs = {p: (q[p][1], d[p + off][1]) for i in at for p in range(i, i + size) if q[p][1]}
+        if len(set(pairs.values())) == len({v for v, _ in pairs.values()}):
+            good |= set(at)
+            continue
+        known = {}
+        for v in {v for v, _ in pairs.values()}:
+            own = [x for w, x in pairs.values() if w == v]
+            known[v] = max(set(own), key=lambda x: (own.count(x), x == v, x))  # noqa: B023
+        left = [i for i in at if all(known[pairs[p][0]] == pairs[p][1] for p in range(i, i + size) if p in pairs)]
+        if all(pairs[p][0] == pairs[p][1] for i in left for p in range(i, i + size) if p in pairs):
+            edited |= set(left)
+    return bool(wins) and (len(good) >= 0.5 * len(wins) or len(good | edited) >= 0.75 * len(wins))
+
+
+def test_re_parameterised_leaks_against_every_offset(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("red blue train ship leaves sails from with and then costs holds small large old new".split())
+    items = [" ".join(rng.choice(["12", "7", "30"]) if rng.random() < 0.25 else word() for _ in range(rng.randrange(18, 45))) for _ in range(12)]
+    docs = []
+    for _ in range(150):
+        words = rng.choice(items).split()
+        change = {"12": rng.choice(["12", "99"]), "7": rng.choice(["7", "41"]), "30": "30"} if rng.random() < 0.5 else {}
+        words = [change.get(w, w) for w in words]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], ["5"], [word()], [word(), words[k]]]) if words else []
+        docs.append(" ".join([word(), *words[rng.choice([0, 0, 6]) :], word()]))
+    want = {(d, i) for d, t in enumerate(docs) for i, q in enumerate(items) if brute_leaks(t, q)}
+    got = set(leaks(spark, docs, items))
+    assert 50 < len(want) < 150 and got == want
 
 
 def test_brief_items(spark):
