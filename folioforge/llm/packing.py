@@ -15,8 +15,11 @@ every bin shrinks to the least permitted size that holds its contents.
 
 A document longer than the longest sequence is cut into full sequences and a
 rest; nothing is dropped. Pieces get their rank among those of their length by a
-window over (length, salt), so a length shared by many documents is spread over
-tasks; rank and plan give bin and offset.
+window over (length, salt), with a salt for every ``GROUP`` pieces of a length, so a
+length shared by many documents is spread over as many sorts of bounded size; rank
+and plan give bin and offset. Salts come from numbers that the pieces are given as
+they are written, not from ids, so repeated and null ids spread as well; which of
+several pieces of one length goes to which bin is of no account.
 
 Defined results: null lengths count as 0; a piece has at least one token, so a
 document of length 0 has no piece unless ``extra`` tokens are added to each
@@ -29,6 +32,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.workspace import Workspace
 
-SALTS = 64
+GROUP = 100_000
 
 
 @dataclass(frozen=True)
@@ -66,15 +70,15 @@ class _Open:
         if room not in self.runs:
             self.runs[room] = []
             insort(self.free, room)
-        self.runs[room].append((first, count, size, used))
+        heappush(self.runs[room], (first, count, size, used))
 
     def take(self, length: int) -> tuple[int, int, int, int] | None:
-        """A run with the least room of at least ``length``."""
+        """The run with the least room of at least ``length`` that was opened first."""
         k = bisect_left(self.free, length)
         if k == len(self.free):
             return None
         room = self.free[k]
-        run = self.runs[room].pop()
+        run = heappop(self.runs[room])
         if not self.runs[room]:
             del self.runs[room]
             del self.free[k]
@@ -94,7 +98,9 @@ def make_plan(histogram: dict[int, int], sizes: tuple[int, ...], overhead: int)
                 # all pieces that are left are this long or shorter
                 size = min((s for s in sizes if s >= length), key=lambda s: ((s + overhead) / min(s, left), s))
                 each = size // length
-                count = -(-n // each)
+                # the price of a later bin is the same while the largest size can still be filled
+                same = (left - sizes[-1]) // (each * length) + 1 if left >= sizes[-1] else 1
+                count = min(-(-n // each), same)
                 run = (n_bins, count, size, 0)
                 n_bins += count
             first, count, size, used = run
@@ -140,14 +146,18 @@ def pack(lengths: DataFrame, ws: Workspace, sizes: tuple[int, ...] = (512, 1024,
     top = max(sizes)
     rows = lengths.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.col(length_col), F.lit(0)).cast("bigint") + extra).alias("whole")).filter("whole > 0")
     pieces = rows.select("doc_id", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(whole - 1) div {top}"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("whole") - F.col("piece") * top).cast("int").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int").alias("salt"))
-    pieces = ws.save(pieces, "pieces")
-    # at most SALTS rows for each of at most `top` lengths
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    number = F.xxhash64(F.monotonically_increasing_id())
+    pieces = ws.save(pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("whole") - F.col("piece") * top).cast("int").alias("length"), number.alias("number")), "pieces")
+    # one row for each of at most `top` lengths
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    spark = lengths.sparkSession
+    plan = spark.sparkContext.broadcast(make_plan(histogram, sizes, overhead))
+    salts = spark.createDataFrame([(k, -(-n // GROUP)) for k, n in histogram.items()], "length int, salts bigint")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("number", "salts"))
+    # one row for each salt: a row for GROUP pieces, and one for each length
+    counts = ws.save(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "salts")
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = lengths.sparkSession.sparkContext.broadcast(make_plan(histogram, sizes, overhead))
-    ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
+    ranked = salted.withColumn("row", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "number")))
     ranked = ranked.join(F.broadcast(before.select("length", "salt", "before")), ["length", "salt"]).select("doc_id", "piece", (F.col("piece") * top).alias("piece_start"), "length", (F.col("before") + F.col("row") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -354,6 +354,38 @@ def test_plan_equals_piece_by_piece_packing(lengths):
     assert sorted(total.values()) == best_fit(lengths, (32,), 4)
 
 
+def bins_of(counts, plan):
+    """Sorted (contents, size) of the bins of a plan."""
+    used: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for n in counts:
+        for b, s in zip(*(x.tolist() for x in packing.place(plan, np.full(counts[n], n), np.arange(counts[n]))[:2]), strict=True):
+            used[b] = used.get(b, 0) + n
+            size[b] = s
+    return sorted((used[b], size[b]) for b in used)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=90), st.sampled_from([((8, 16, 32), 4), ((8, 32), 0), ((5, 11, 16, 32), 9)]))
+def test_choice_of_sizes_equals_piece_by_piece_packing(lengths, given_sizes):
+    sizes, overhead = given_sizes
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    want = sorted((used, min(s for s in sizes if s >= used)) for used in best_fit(lengths, sizes, overhead))
+    assert bins_of(counts, packing.make_plan(counts, sizes, overhead)) == want
+
+
+def test_pack_spreads_a_length_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    rows = spark.createDataFrame([(None if i % 3 else 5, 9 if i % 4 else 3) for i in range(2000)], "doc_id bigint, n_tokens bigint")
+    got = packing.pack(rows, Workspace(spark, "t"), sizes=(16, 32), overhead=2, extra=0).collect()
+    assert len(got) == 2000 and len({(r["bin_id"], r["bin_offset"]) for r in got}) == 2000
+    lengths = [r["length"] for r in got]
+    used: dict[int, int] = {}
+    for r in got:
+        used[r["bin_id"]] = used.get(r["bin_id"], 0) + r["length"]
+    assert sorted(used.values()) == best_fit(lengths, (16, 32), 2)
+
+
 def test_pack_rows(spark):
     rows = [(i, n, i) for i, n in enumerate([0, None, 1, 5, 5, 5, 100, 31, 32, 33, 7] + [3] * 40)] + [(3, 5, 1), (None, 9, 1)]
     table = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, length bigint")
@@ -407,3 +439,20 @@ def test_pipeline_stages(spark):
             assert not [r for r in after.collect() if any(i in r["text"].lower() for i in items)]
             assert key(after) == [x for x in key(now) if not any(i in x[1].lower() for i in items)]
         now = after
+
+
+def test_pipeline_judges_rows_by_their_text(spark):
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").head()["text"]
+    one, two, far = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    near = one.rsplit(" ", 1)[0]
+    rows = [(1, one, "a"), (1, two, "b"), (1, two, "c"), (2, near, "d"), (None, near, "e"), (None, far, "f"), (None, far, "g"), (3, None, "h"), (4, "", "i"), (5, item, "j"), (None, "so: " + item, "k"), (5, "word " * 200_000, "l")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted(r["source"] for r in stages["near_dedup"](spark, docs, folder).collect())
+    assert kept[0] == "a" and len(kept) == 7 and {"f", "g"} & set(kept) and {"b", "c"} & set(kept) and set("hijl") <= set(kept)
+    assert sorted(r["source"] for r in stages["decontamination"](spark, docs, folder).collect()) == list("abcdefghil")
+    whole = docs.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, whole.limit(0), folder)
+        assert out.collect() == [] and (name == "packing" or out.columns == whole.columns)
