@@ -6,8 +6,12 @@ near-duplicates (five-word shingles, similarity 0.8 or more) and documents that
 hold benchmark items go; what is left is packed into sequences. All stages but
 the last return the columns of documents.
 
-Rows with a null id are judged by their text and never dropped for an id. Of
-rows that repeat an id, the near-duplicate stage keeps one.
+Rows are told apart by more than their id: the near-duplicate stage numbers them,
+and the decontamination knows them by their text. So rows with a null id and
+different texts of one id are judged by their text like others, and never
+dropped for an id. Of each group of near-duplicates the row with the least id
+stays (one with a null id only if no other has one). Null and empty texts go with
+the language stage; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ from pyspark.sql import functions as F
 from folioforge.llm import decontam, language_id, minhash, packing, token_count, toxicity
 from folioforge.llm.workspace import Workspace
 
-#: Lists of ids up to this many (8 bytes each) are sent to every executor; longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Lists of rows up to this many (16 bytes each) are sent to every executor; longer ones are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``ids`` (a saved table of one column)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (key, row) whose key isn't among ``gone`` (a saved table of one column)."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "key", "left_anti").select("row.*")
 
 
 def _as_rows(docs: DataFrame) -> DataFrame:
@@ -48,21 +52,21 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group of near-duplicates the document with the least id stays."""
     ws = Workspace(spark, "pipeline-near")
-    found = minhash.near_duplicates(docs, ws, k=5, percent=80)
-    gone = ws.save(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    repeated = ws.save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    kept = _without(docs, gone)
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+    # the rows' numbers are fixed once they are written
+    rows = ws.save(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "rows")
+    found = minhash.near_duplicates(rows.select("key", F.col("row.text").alias("text")), ws, k=5, percent=80, id_col="key")
+    found = found.select(F.col("doc_id").alias("key"), "component_id").join(rows.select("key", F.col("row.doc_id").alias("id")), "key")
+    best = found.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("best"))
+    return _without(rows, ws.save(found.join(best, "component_id").filter("key != best").select("key"), "gone"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ws = Workspace(spark, "pipeline-leaks")
-    return _without(docs, ws.save(decontam.find_leaks(docs, items, ws).select("doc_id").distinct(), "leaks"))
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")).alias("key")
+    leaks = decontam.find_leaks(docs.select(key, "text"), items, ws, id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return _without(docs.select(key, F.struct("*").alias("row")), ws.save(leaks, "leaks"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
