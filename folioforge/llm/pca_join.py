@@ -8,19 +8,23 @@ threshold. The same bound holds for boxes: a splitting tree of the sample deals
 the vectors into regions, and regions, or strips of a tile, whose boxes in the
 leading components are too far apart are never compared.
 
-A region with many vectors is cut into blocks of bounded size. Each pair of
-blocks that may hold links is one unit of work; it returns a row per linked
-vector, with its number of links and a vector of its local component, never its
-pairs. Equal vectors are compared once and counted by their number. Components
-come from alternating large-star and small-star.
+A region with many vectors is cut into blocks of bounded size in bytes; there are
+no more of them than keep the cores busy, as each vector is sent to all blocks that
+its own may hold links with. Each pair of such blocks is one unit of work; it
+returns a row per linked vector, with its number of links and a vector of its local
+component, never its pairs. Equal vectors are compared once and counted by their
+number. Components come from alternating large-star and small-star.
 
-Nothing is approximate: the sample only decides what is compared first.
+Nothing is approximate: the sample only decides what is compared first. Bounds are
+taken in the turned basis, the products that are held against the threshold from
+the unit vectors themselves.
 
 Defined results: null vectors, vectors with null, infinite or NaN components,
 without components or of length zero link with nothing, nor do vectors of
 another dimension than most of the sample. A row with a null id is kept, counts
-as no one's link and has a null component. Of rows with equal ids, each counts.
-Other columns are not read. An empty table gives no rows.
+as no one's link and has a null component. Of rows with equal ids, each counts and
+has the links of its own vector. Other columns are not read. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,8 @@ from folioforge.llm.components import connected_components
 from folioforge.llm.workspace import Workspace
 
 SAMPLE = 4096
-BLOCK = 4096
+BLOCK_BYTES = 1 << 24  # of vectors in a block at most
+LEAST_BLOCK = 2048  # vectors, unless that is more than a block may have
 STRIP = 512
 BOX = 8
 LEVELS = 10  # of the splitting tree at most: 2**10 regions, so 2**20 pairs of regions
@@ -67,28 +73,22 @@ class Basis:
 
 
 def unit_rows(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that can be compared, their unit vectors) of a list column."""
-    rows, out = [], []
-    for i, v in enumerate(column):
-        if not v.is_valid:
-            continue
-        x = v.values
-        if x is None or x.null_count or not len(x) or dim is not None and len(x) != dim:
-            continue
-        x = x.to_numpy(zero_copy_only=False).astype(np.float64)
-        top = np.abs(x).max()
-        if not np.isfinite(top) or not top:
-            continue
-        x = x / top  # keeps the norm of huge and tiny vectors finite
-        rows.append(i)
-        out.append(x / np.sqrt((x * x).sum()))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, dim or 0))
+    """(rows that can be compared, their unit vectors) of a list column; without ``dim`` of the most frequent length."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     if dim is None:
-        sizes = [len(x) for x in out]
-        dim = max(sorted(set(sizes)), key=sizes.count)
-        rows, out = zip(*((r, x) for r, x in zip(rows, out, strict=True) if len(x) == dim), strict=True)
-    return np.array(rows), np.stack(out)
+        seen, times = np.unique(sizes[sizes > 0], return_counts=True)
+        dim = int(seen[times.argmax()]) if len(seen) else 0
+    rows = np.flatnonzero(sizes == dim) if dim else np.zeros(0, np.int64)
+    if not len(rows):
+        return rows, np.zeros((0, dim))
+    values = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64())
+    x = pc.fill_null(values, np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    top = np.abs(x).max(axis=1)
+    ok = np.isfinite(top) & (top > 0)
+    rows, x = rows[ok], x[ok] / top[ok, None]  # keeps the norm of huge and tiny vectors finite
+    return rows, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def fit_basis(sample: np.ndarray, levels: int) -> Basis:
@@ -116,25 +116,40 @@ def gap2(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray)
     return (d * d).sum(axis=-1)
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of x, row of y) with product of at least the threshold, leading components first."""
+def tile_links(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of u, row of v) with product of at least the threshold; x and y are the same vectors turned, of which the leading components come first."""
     dim = x.shape[1]
-    steps = sorted({min(BOX, dim), min(3 * BOX, dim), dim})
+    steps = sorted({min(BOX, dim), min(3 * BOX, dim)})
     lead = steps[0]
     part = x[:, :lead] @ y[:, :lead].T
-    rest_x, rest_y = (np.sqrt((v[:, lead:] ** 2).sum(axis=1)) for v in (x, y))
+    rest_x, rest_y = (np.sqrt((w[:, lead:] ** 2).sum(axis=1)) for w in (x, y))
     i, j = np.nonzero(part + rest_x[:, None] * rest_y[None, :] >= threshold - SLACK)
-    if not len(i):
-        return i, j
     if len(i) > 0.02 * part.size:
-        return np.nonzero(x @ y.T >= threshold)
+        return np.nonzero(u @ v.T >= threshold)
     value = part[i, j]
     for a, b in zip(steps, steps[1:], strict=False):
         value = value + np.einsum("ij,ij->i", x[i, a:b], y[j, a:b])
-        rx, ry = (np.sqrt((v[:, b:] ** 2).sum(axis=1)) for v in (x, y))
-        ok = value + rx[i] * ry[j] >= threshold - SLACK if b < dim else value >= threshold
+        rx, ry = (np.sqrt((w[:, b:] ** 2).sum(axis=1)) for w in (x, y))
+        ok = value + rx[i] * ry[j] >= threshold - SLACK
         i, j, value = i[ok], j[ok], value[ok]
-    return i, j
+    ok = np.einsum("ij,ij->i", u[i], v[j]) >= threshold
+    return i[ok], j[ok]
+
+
+def strip_order(x: np.ndarray) -> np.ndarray:
+    """An order of turned vectors in which each run of ``STRIP`` lies close together: halves along the widest leading axis, again and again."""
+    order, todo, done = np.arange(len(x)), [(0, len(x))], []
+    while todo:
+        a, b = todo.pop()
+        if b - a <= STRIP:
+            done.append((a, b))
+            continue
+        own = x[order[a:b], :BOX]
+        axis = np.argmax(own.max(axis=0) - own.min(axis=0))
+        half = max(1, (b - a) // STRIP // 2) * STRIP
+        order[a:b] = order[a:b][np.argpartition(own[:, axis], half)]
+        todo += [(a, a + half), (a + half, b)]
+    return order
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -153,28 +168,36 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
     return label
 
 
-def block_links(xs: np.ndarray, ys: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(weighted links, local component) of the rows of xs, then of ys; ys None: within xs."""
-    same = ys is None
+def block_links(us: np.ndarray, vs: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted links, local component) of the unit vectors us, then of vs; vs None: within us."""
+    same = vs is None
+    xs = us @ rotation
     if same:
-        ys, weight_y = xs, weight_x
+        vs, ys, weight_y = us, xs, weight_x
+    else:
+        ys = vs @ rotation
     nx = len(xs)
     n = nx if same else nx + len(ys)
     links, label = np.zeros(n, np.int64), np.arange(n)
     shift = 0 if same else nx
 
-    def strips(v: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        return [(s, min(s + STRIP, len(v)), v[s : s + STRIP, :BOX].min(axis=0), v[s : s + STRIP, :BOX].max(axis=0)) for s in range(0, len(v), STRIP)]
+    def strips(x: np.ndarray, u: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        order = strip_order(x)
+        parts = [(r := order[s : s + STRIP], x[r], u[r]) for s in range(0, len(order), STRIP)]
+        return parts, np.array([p[:, :BOX].min(axis=0) for _, p, _ in parts]), np.array([p[:, :BOX].max(axis=0) for _, p, _ in parts])
 
     far = 2 - 2 * threshold + SLACK
-    for a, b, lo_a, hi_a in strips(xs):
-        for c, d, lo_b, hi_b in strips(ys):
-            if same and c < a or gap2(lo_a, hi_a, lo_b, hi_b) > far:
+    left, lo_l, hi_l = strips(xs, us)
+    right, lo_r, hi_r = (left, lo_l, hi_l) if same else strips(ys, vs)
+    for a, (rows_a, x, u) in enumerate(left):
+        for c in np.flatnonzero(gap2(lo_l[a], hi_l[a], lo_r, hi_r) <= far).tolist():
+            if same and c < a:
                 continue
-            i, j = tile_links(xs[a:b], ys[c:d], threshold)
-            i, j = i + a, j + c
-            if same:
+            rows_c, y, v = right[c]
+            i, j = tile_links(x, y, u, v, threshold)
+            if same and c == a:
                 i, j = i[i < j], j[i < j]
+            i, j = rows_a[i], rows_c[j]
             if not len(i):
                 continue
             links[:nx] += np.bincount(i, weight_y[j], nx).astype(np.int64)
@@ -187,10 +210,16 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
     """(vec_id, n_links, component_id, kept) of every row of ``table``."""
     rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
     picked = rows.filter("v is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
-    _, sample = unit_rows(picked.combine_chunks() if picked.num_chunks != 1 else picked.chunk(0)) if len(picked) else (None, np.zeros((0, 1)))
+    _, sample = unit_rows(picked) if len(picked) else (None, np.zeros((0, 1)))
     count = rows.count()
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(count, 1) / BLOCK)))))
-    basis = fit_basis(sample, levels) if len(sample) else None
+    basis = None
+    if len(sample):
+        most = max(1, BLOCK_BYTES // (8 * sample.shape[1]))
+        cores = table.sparkSession.sparkContext.defaultParallelism
+        # blocks of a full grid of pairs with two tasks for each core, unless a block would be too large
+        blocks = max(-(-count // most), min(-(-count // min(LEAST_BLOCK, most)), int(np.ceil(np.sqrt(4 * cores)))))
+        size = -(-max(count, 1) // blocks)
+        basis = fit_basis(sample, min(LEVELS, int(np.log2(blocks))))
     lead = min(BOX, basis.dim) if basis else 0
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +227,15 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
             n = batch.num_rows
             ok, x = unit_rows(batch.column("v"), basis.dim) if basis else (np.zeros(0, np.int64), np.zeros((0, 1)))
             turned = x @ basis.rotation if basis else x
+            x = x + 0.0  # no negative zeros: equal vectors have equal bytes
             digest: list[bytes | None] = [None] * n
             vector: list[bytes | None] = [None] * n
             region = np.full(n, -1)
             if len(ok):
                 region[ok] = basis.region(turned)
-            for i, u, t in zip(ok, x, turned, strict=True):
-                digest[i] = hashlib.blake2b((u + 0.0).tobytes(), digest_size=16).digest()
-                vector[i] = t.tobytes()
+            for i, u in zip(ok.tolist(), x, strict=True):
+                vector[i] = u.tobytes()
+                digest[i] = hashlib.blake2b(vector[i], digest_size=16).digest()
             box = np.zeros((n, BOX))
             if len(ok):
                 box[ok, :lead] = turned[:, :lead]
@@ -214,11 +244,13 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
     boxes = ", ".join(f"c{k} double" for k in range(BOX))
     turned = ws.save(rows.mapInArrow(turn, f"vec_id bigint, digest binary, x binary, region int, {boxes}"), "turned")
     good = turned.filter("vec_id is not null and digest is not null")
-    classes = ws.save(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    reps = good.join(classes.withColumnRenamed("digest", "d"), (F.col("vec_id") == F.col("rep")) & (F.col("digest") == F.col("d"))).dropDuplicates(["rep", "digest"])
+    # the numbers of the classes are fixed once they are written
+    classes = good.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = ws.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = good.withColumnRenamed("vec_id", "least").join(classes, ["least", "digest"]).dropDuplicates(["rep"])
     reps = ws.save(reps.select("rep", "weight", "x", "region", *(f"c{k}" for k in range(BOX))), "representatives")
     info = reps.groupBy("region").agg(F.count("*").alias("n"), *(f(f"c{k}").alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(BOX))).orderBy("region").collect()
-    parts = {r["region"]: -(-r["n"] // BLOCK) for r in info}
+    parts = {r["region"]: -(-r["n"] // min(2 * size, most)) for r in info}  # medians are of a sample: a region may have more than a block's share
     names = np.array([r["region"] for r in info])
     lo, hi = (np.array([[r[f"{f}{k}"] for k in range(BOX)] for r in info]).reshape(-1, BOX) for f in ("min", "max"))
     partners = []  # at most 2**LEVELS squared rows
@@ -229,8 +261,8 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
     near = spark.createDataFrame(partners, "region int, other int, parts int, other_parts int")
     block = reps.join(F.broadcast(near), "region").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     own, other = F.struct("region", "part"), F.struct(F.col("other").alias("region"), F.col("other_part").alias("part"))
-    work = block.select(F.least(own, other).alias("l"), F.greatest(own, other).alias("r"), (own > other).alias("side"), "rep", "weight", "x", "c0")
-    work = work.select(F.col("l.region").alias("lr"), F.col("l.part").alias("lp"), F.col("r.region").alias("rr"), F.col("r.part").alias("rp"), "side", "c0", "rep", "weight", "x")
+    work = block.select(F.least(own, other).alias("l"), F.greatest(own, other).alias("r"), (own > other).alias("side"), "rep", "weight", "x")
+    work = work.select(F.col("l.region").alias("lr"), F.col("l.part").alias("lp"), F.col("r.region").alias("rr"), F.col("r.part").alias("rp"), "side", "rep", "weight", "x")
     keys = ["lr", "lp", "rr", "rp"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +273,7 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
             x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
             twins = all(t.column(a)[0].equals(t.column(b)[0]) for a, b in (("lr", "rr"), ("lp", "rp")))
             k = len(ids) if twins else int((~side).sum())
-            n, root = block_links(x[:k], None if twins else x[k:], weight[:k], None if twins else weight[k:], threshold)
+            n, root = block_links(x[:k], None if twins else x[k:], weight[:k], None if twins else weight[k:], basis.rotation, threshold)
             hit = n > 0
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, root, ids)
@@ -260,11 +292,13 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
         if held is not None:
             yield done(held.combine_chunks())
 
-    pairs = work.repartition(*keys).sortWithinPartitions(*keys, "side", "c0", "rep").mapInArrow(solve, "rep bigint, n bigint, root bigint")
+    pairs = work.repartition(*keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(solve, "rep bigint, n bigint, root bigint")
     found = ws.save(pairs, "links")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), ws).withColumnRenamed("id", "rep")
-    named = classes.join(links, "rep", "left").join(labels, "rep", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    linked = classes.select("rep", "least").join(labels, "rep")
+    least = linked.join(linked.groupBy("component").agg(F.min("least").alias("c")), "component").select("rep", "c")
+    named = classes.join(links, "rep", "left").join(least, "rep", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     out = turned.select("vec_id", "digest").join(named, "digest", "left")
     known = F.col("vec_id").isNotNull()
     component = F.when(known, F.coalesce("c", "vec_id"))

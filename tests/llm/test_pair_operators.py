@@ -149,7 +149,8 @@ def test_a_pair_is_compared_where_it_meets_first():
 
 @pytest.mark.parametrize("block", [4096, 32])
 def test_vectors_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(pca_join, "BLOCK", block)
+    monkeypatch.setattr(pca_join, "LEAST_BLOCK", block)
+    monkeypatch.setattr(pca_join, "BLOCK_BYTES", block * 16 * 8)
     monkeypatch.setattr(pca_join, "STRIP", 16)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
@@ -177,6 +178,22 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert (got[None]["n_links"], got[None]["component_id"]) == (0, None)
 
 
+def test_rows_that_share_an_id_link_by_their_own_vector(spark):
+    a, b = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    near = lambda v, k: [x + (0.05 if i == k else 0.0) for i, x in enumerate(v)]
+    rows = [(3, a), (3, b), (5, near(a, 1)), (6, near(a, 2)), (4, b), (4, b)]
+    got = pca_join.similar_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), Workspace(spark, "t")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False), (5, 2, 3, False), (6, 2, 3, False)]
+    alone = [(1, a), (1, b), (7, near(a, 1)), (8, near(a, 2))]
+    got = pca_join.similar_vectors(spark.createDataFrame(alone, "vec_id bigint, embedding array<double>"), Workspace(spark, "t")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(1, 0), (1, 2), (7, 2), (8, 2)]
+
+
+def test_strips_hold_every_row_once():
+    x = np.random.default_rng(1).normal(size=(5000, 8))
+    assert sorted(pca_join.strip_order(x).tolist()) == list(range(5000))
+
+
 def test_no_vectors(spark):
     assert pca_join.similar_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), Workspace(spark, "t")).collect() == []
     assert pca_join.similar_vectors(spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<float>"), Workspace(spark, "t")).head()["kept"]
