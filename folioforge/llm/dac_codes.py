@@ -108,9 +108,32 @@ class Image:
             where = where[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
         return value
 
+    def rank(self, level: int, i: int) -> int:
+        """Set bits of a level before place ``i``: the directory's entry and the bits of one block."""
+        _, bitmap, ranks = self.levels[level]
+        byte, bit = divmod(i, 8)
+        first = i // RANK_BITS * (RANK_BITS // 8)
+        rest = bin(int(bitmap[byte]) & ((1 << bit) - 1)).count("1") if bit else 0
+        return int(ranks[i // RANK_BITS]) + int(_POPCOUNT[bitmap[first:byte]].sum()) + rest
+
+    def ids(self, a: int, b: int) -> np.ndarray:
+        """Ids from number ``a`` up to ``b``: those that go on lie side by side in the next level, from the rank of the first."""
+        if not 0 <= a <= b <= self.n_ids:
+            raise IndexError((a, b))
+        value, where = np.zeros(b - a, np.uint32), np.arange(b - a)
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
+            if not len(where):
+                break
+            value[where] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * k)
+            more = np.unpackbits(bitmap[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+            where = where[more]
+            a = self.rank(k, a) if len(where) else 0
+            b = a + len(where)
+        return value
+
     def document(self, k: int) -> np.ndarray:
-        """Ids of document number ``k`` of this image."""
-        return np.fromiter((self.get(i) for i in range(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))), np.uint32)
+        """Ids of document number ``k`` of this image; no other document is decoded."""
+        return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
 def encode_text(encoder: PieceEncoder, table: PieceBytes, text: str, width: int) -> bytes:
@@ -131,20 +154,27 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Wor
     Returns the images as read back, (bucket, start, image), where ``start`` counts the
     ids before the image within its bucket, and the number of ids before each bucket.
     Buckets are ranges of ids, as many as shuffle partitions, cut at quantiles of the id
-    column; the driver holds those bounds and one total per bucket, nothing else.
+    column, and each goes to a partition of its own; an id that fills several quantiles is
+    spread over as many buckets. The driver holds the bounds and one total per bucket,
+    nothing else.
 
     Defined results: null and empty texts hold ``end_id`` only; a null id sorts first;
-    rows with equal ids are ordered by their token ids; other columns are not read.
+    rows with equal ids are ordered by their token ids within a bucket; other columns are
+    not read.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     width = 2 if PieceEncoder(text).tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     spec = spark.sparkContext.broadcast(text)
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("salt"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = narrow.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).head()[0] or []
-    bounds = np.array(sorted(set(bounds)), np.int64)
+    bounds = np.array(sorted(bounds), np.int64)
+    # a whole number for each bucket that the hash of a shuffle deals to the bucket's own partition
+    dealt = spark.range(40 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    deal = {r["p"]: r["id"] for r in dealt}
+    deals = np.array([deal.get(b, b) for b in range(n)], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = encoding(spec.value, width)
@@ -153,7 +183,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Wor
             for a, b, texts in text_slices(batch, "text"):
                 ids = batch.column("doc_id").slice(a, b - a)
                 known = np.array(ids.fill_null(np.iinfo(np.int64).min))
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, known, "left"), pa.int32()), ids, pa.array([encode_text(encoder, table, t, width) + end for t in texts.to_pylist()], pa.binary())], ["bucket", "doc_id", "ids"])
+                bucket = np.searchsorted(bounds, known, "left")
+                filled = np.searchsorted(bounds, known, "right") - bucket
+                bucket += np.where(filled > 1, batch.column("salt").slice(a, b - a).to_numpy() % np.maximum(filled, 1), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(deals[bucket], pa.int32()), pa.array(bucket, pa.int32()), ids, pa.array([encode_text(encoder, table, t, width) + end for t in texts.to_pylist()], pa.binary())], ["deal", "bucket", "doc_id", "ids"])
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, np.ndarray]] = []
@@ -175,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Wor
         if held:
             yield flush()
 
-    rows = narrow.mapInArrow(encode, "bucket int, doc_id bigint, ids binary").repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    rows = narrow.mapInArrow(encode, "deal int, bucket int, doc_id bigint, ids binary").repartition(n, "deal").sortWithinPartitions("bucket", "doc_id", "ids")
     files = ws.save(rows.mapInArrow(images, "bucket int, start bigint, n_ids bigint, image binary"), "token-files")
     totals = {r["bucket"]: r["n"] for r in files.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}
     before = np.concatenate([[0], np.cumsum([totals.get(k, 0) for k in range(len(bounds) + 1)])]).astype(np.int64).tolist()
@@ -189,10 +222,9 @@ def read_documents(files: DataFrame, before: list[int]) -> DataFrame:
         for batch in batches:
             for k, start, data in zip(*(batch.column(c) for c in ("bucket", "start", "image")), strict=True):
                 image = Image(data.as_buffer())
-                ids = image.all().astype("<u4")
                 first = before[k.as_py()] + start.as_py()
                 starts = np.concatenate([[0], image.ends[:-1]])
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts, image.ends, strict=True)]
+                crcs = [zlib.crc32(image.document(d).astype("<u4")) for d in range(len(starts))]
                 yield pa.RecordBatch.from_arrays([pa.array(image.doc_ids, pa.int64()), pa.array(starts + first), pa.array(image.ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -137,7 +137,9 @@ def test_path_ratios_against_sums_by_hand():
 
 
 def test_licence_scan_against_sql(spark):
-    texts = [*(t for t in ODD if len(t or "") < 9999), "Released under the MIT License. mit-license, MIT\nLICENSE", "GNU general public license", "cc by-nc 4.0 and CC BY 4.0", "a mit éa license", "Permission is hereby granted, free of charge, to any person", "accept nd cc", "mit license " * 50, "x mit license"]
+    notices = [" ".join(t.words) for t in license_index.TEMPLATES]
+    cut = ["so " + " ".join(n.split()[: len(n.split()) * k // 10]) for n in notices for k in (4, 6)] + [" ".join("no" if i % 3 == 1 else w for i, w in enumerate(n.split())) for n in notices]
+    texts = [*(t for t in ODD if len(t or "") < 9999), *notices, *cut, "submit the admitted license", "Released under the MIT License. mit-license, MIT\nLICENSE", "GNU general public license", "cc by-nc 4.0 and CC BY 4.0", "a mit éa license", "Permission is hereby granted, free of charge, to any person", "accept nd cc", "mit license " * 50, "x mit license"]
     docs = frame(spark, texts)
     got = license_index.scan(docs).drop("places").toArrow().to_pylist()
     con = duckdb.connect()
@@ -148,6 +150,14 @@ def test_licence_scan_against_sql(spark):
     assert max(r["n_base"] for r in got) == 50
 
 
+def test_licence_scan_of_long_texts_and_none(spark):
+    texts = ["word " * 60_000 + "MIT License", "mit license " * 20_000, "x" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r[:6]) for r in license_index.scan(docs).collect())
+    assert got == [(0, 60_002, 1, 60_000, 60_000, "mit"), (1, 40_000, 20_000, 0, 39_998, "mit"), (2, 1, 0, None, None, "")]
+    assert license_index.scan(docs.limit(0)).collect() == []
+
+
 def test_triggers_cover_every_key_phrase():
     found = license_index.triggers(license_index.TEMPLATES)
     assert all(set(t.key) & set(found) for t in license_index.TEMPLATES)
@@ -217,6 +227,19 @@ def test_token_files(spark):
     assert dac_codes.read_documents(files, before).collect() == []
 
 
+def test_an_id_of_most_rows_is_spread_over_buckets(spark):
+    texts = [f"word {i % 7} " * (i % 5) for i in range(400)]
+    docs = spark.createDataFrame([(50 if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    files, before = dac_codes.write_token_files(docs, P.path("word_bpe_49k.json"), 1, Workspace(spark, "t"))
+    assert files.select("bucket").distinct().count() == 4
+    got = sorted(map(tuple, dac_codes.read_documents(files, before).collect()), key=lambda r: r[1])
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert sorted((r[0], r[2], r[3]) for r in got) == sorted((50 if i % 3 else i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids))
+    assert [r[0] for r in got] == sorted(r[0] for r in got)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=700), max_size=5))
 def test_codes_give_every_id_without_decoding(documents):
@@ -225,7 +248,7 @@ def test_codes_give_every_id_without_decoding(documents):
     flat = [x for d in documents for x in d]
     assert image.all().tolist() == flat
     assert [image.get(i) for i in range(0, len(flat), 7)] == flat[::7]
-    for k, d in enumerate(documents[:2]):
+    for k, d in enumerate(documents):
         assert image.document(k).tolist() == d
     with pytest.raises(IndexError):
         image.get(len(flat))
