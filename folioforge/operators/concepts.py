@@ -98,16 +98,18 @@ def concept_pages(plan: DataFrame, docs: DataFrame, targets: DataFrame, text_col
 
 
 def last_wins(pages: DataFrame) -> DataFrame:
-    """Of pages of one document with one slug the last counts, at the place of the first: (doc_id, slug, place, brief, content)."""
-    w = Window.partitionBy("doc_id", "slug")
-    rows = pages.withColumns({"place": F.min("gen_ord").over(w), "n": F.row_number().over(w.orderBy(F.desc("gen_ord")))})
-    return rows.filter("n = 1").select("doc_id", "doc_name", "slug", "place", "brief", "content")
+    """Of pages of one document with one slug the last counts, at the place of the first: (doc_id, doc_name, slug, place, brief, content).
+
+    Grouped, so that what loses is dropped before the shuffle.
+    """
+    rows = pages.groupBy("doc_id", "slug").agg(F.min("gen_ord").alias("place"), F.max_by(F.struct("doc_name", "brief", "content"), "gen_ord").alias("v"))
+    return rows.select("doc_id", "v.doc_name", "slug", "place", "v.brief", "v.content")
 
 
 def first_wins(pages: DataFrame) -> DataFrame:
-    """Of pages of several documents with one slug the first counts: (slug, doc_id, doc_name, brief, content)."""
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id", "place"))
-    return pages.withColumn("n", n).filter("n = 1").select("slug", "doc_id", "doc_name", "brief", "content")
+    """Of pages of several documents with one slug the first counts: (slug, doc_id, doc_name, place, brief, content)."""
+    rows = pages.groupBy("slug").agg(F.min_by(F.struct("doc_id", "doc_name", "place", "brief", "content"), F.struct("doc_id", "place")).alias("v"))
+    return rows.select("slug", "v.*")
 
 
 def related_minus_concepts(plan: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Recursive expansion of large leaves."""
+"""Recursive expansion of large leaves.
+
+Nodes without pages are never large; null token counts count as nothing; no nodes give no nodes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.config import TreeConfig
@@ -18,27 +21,37 @@ from folioforge.plans.storage import checkpointed
 def large_nodes(nodes: DataFrame, counts: DataFrame, config: TreeConfig) -> DataFrame:
     """Leaves that span more pages and hold at least as many tokens as allowed, (doc_id, path, start_index, end_index).
 
-    The cheap tests come first; only the leaves left are joined with pages.
+    The cheap tests come first. The tokens of a range are the difference of two running sums, met
+    by (document, page); pages are numbered without gaps.
     """
     inner = nodes.select("doc_id", F.col("parent_path").alias("path")).filter(F.size("path") > 0).distinct()
     leaves = nodes.join(inner, ["doc_id", "path"], "left_anti").filter(F.col("end_index") - F.col("start_index") + 1 > config.max_pages_per_node)
     leaves = leaves.select("doc_id", "path", "title", "start_index", "end_index")
-    rows = leaves.join(counts, "doc_id").filter(F.col("page").between(F.col("start_index"), F.col("end_index")))
-    sums = rows.groupBy("doc_id", "path", "title", "start_index", "end_index").agg(F.sum("tokens").alias("tokens"))
-    return sums.filter(F.col("tokens") >= config.max_tokens_per_node).drop("tokens")
+    w = Window.partitionBy("doc_id")
+    sums = counts.select("doc_id", "page", F.sum("tokens").over(w.orderBy("page")).alias("sum"), F.max("page").over(w).alias("last"))
+    first = sums.select("doc_id", (F.col("page") + 1).alias("start_index"), F.col("sum").alias("before"))
+    end = sums.select("doc_id", F.col("page").alias("_end"), F.col("sum").alias("upto"))
+    rows = leaves.join(sums.select("doc_id", "last").distinct(), "doc_id").withColumn("_end", F.least("end_index", "last")).filter("start_index <= _end")
+    rows = rows.join(end, ["doc_id", "_end"]).join(first, ["doc_id", "start_index"], "left")
+    large = rows.filter(F.col("upto") - F.coalesce("before", F.lit(0)) >= config.max_tokens_per_node)
+    return large.select("doc_id", "path", "title", "start_index", "end_index")
+
+
+def _repair(found: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig, doc: str) -> DataFrame:
+    return verify_and_fix(found, pages, totals, config, doc=doc)
 
 
-def _children(large: DataFrame, pages: DataFrame, counts: DataFrame, totals: DataFrame, config: TreeConfig, generate: Callable[..., DataFrame]) -> DataFrame:
+def _children(large: DataFrame, pages: DataFrame, counts: DataFrame, totals: DataFrame, config: TreeConfig, generate: Callable[..., DataFrame], repair: Callable[..., DataFrame]) -> DataFrame:
     """New nodes below the large ones; a node that would only get one child of its own title gets none."""
     key = F.struct("doc_id", "path")
     part = large.select(F.col("doc_id"), "path", "start_index", "end_index")
-    own = lambda df: df.join(part, "doc_id").filter(F.col("page").between(F.col("start_index"), F.col("end_index"))).select(key.alias("doc_id"), *(c for c in df.columns if c != "doc_id"))
+    paged = part.select("doc_id", "path", F.explode(F.sequence("start_index", "end_index")).alias("page"))
+    own = lambda df: df.join(paged, ["doc_id", "page"]).select(key.alias("doc_id"), *(c for c in df.columns if c != "doc_id"))
     # kept: the repair passes and the tree refer to these rows many times
     found = checkpointed(generate(own(pages), config, own(counts)))
-    # sections are checked against the whole document
-    whole = large.select("doc_id", "path").join(pages, "doc_id").select(key.alias("doc_id"), "page", "content")
+    # sections are checked against the pages of the whole document, which are not copied for each node
     all_pages = large.select("doc_id", "path").join(totals, "doc_id").select(key.alias("doc_id"), "total_pages")
-    fixed = checkpointed(verify_and_fix(found, whole, all_pages, config))
+    fixed = checkpointed(repair(found, pages, all_pages, config, "doc_id.doc_id"))
     tree = build_tree(fixed.drop("ok"), large.select(key.alias("doc_id"), F.col("end_index").alias("total_pages")))
     tree = checkpointed(tree)
     roots = tree.filter("tree_depth = 1").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("title").alias("only"))
@@ -48,11 +61,12 @@ def _children(large: DataFrame, pages: DataFrame, counts: DataFrame, totals: Dat
     return tree.select(F.col("doc_id.doc_id").alias("doc_id"), "ord", path.alias("path"), F.slice(path, 1, F.size(path) - 1).alias("parent_path"), F.size(path).alias("tree_depth"), "depth", "structure", "title", "start_index", "end_index")
 
 
-def expand_large_nodes(nodes: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig = TreeConfig(), counts: DataFrame | None = None, generate: Callable[..., DataFrame] = S.flat_sections) -> DataFrame:
+def expand_large_nodes(nodes: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig = TreeConfig(), counts: DataFrame | None = None, generate: Callable[..., DataFrame] = S.flat_sections, repair: Callable[..., DataFrame] = _repair) -> DataFrame:
     """Nodes with large leaves expanded, level by level.
 
     A list of siblings is worked on only if one of them is large; then the children of all
-    of them, old and new, are looked at. Lists without a large member end there, whatever
+    of them, old and new, are looked at. ``generate`` and ``repair`` find the sections of a
+    large node's pages and check them; the rules by default. Lists without a large member end there, whatever
     lies below. Each level is one bounded plan; a level without large leaves ends the loop.
     """
     counts = counts if counts is not None else pages.select("doc_id", "page", T.token_count(F.col("content")).alias("tokens"))
@@ -64,7 +78,7 @@ def expand_large_nodes(nodes: DataFrame, pages: DataFrame, totals: DataFrame, co
         if large.isEmpty():
             break
         lists = large.select("doc_id", F.slice("path", 1, F.size("path") - 1).alias("parent_path")).distinct()
-        new = _children(large, pages, counts, totals, config, generate)
+        new = _children(large, pages, counts, totals, config, generate, repair)
         # checkpointed: the plan of a level holds that of the one before several times
         nodes = checkpointed(nodes.unionByName(new))
         members = frontier.join(lists, ["doc_id", "parent_path"], "left_semi").select("doc_id", F.col("path").alias("parent_path"))

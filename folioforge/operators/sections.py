@@ -62,7 +62,7 @@ def group_ranges(counts: DataFrame, max_tokens: int, overlap: int = 1) -> DataFr
 
 def group_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, group_no, text): the tagged pages of each group, joined by a blank line."""
-    rows = ranges.join(pages, "doc_id").filter(F.col("page").between(F.col("first_page"), F.col("last_page")))
+    rows = ranges.select("doc_id", "group_no", F.explode(F.sequence("first_page", "last_page")).alias("page")).join(pages, ["doc_id", "page"])
     joined = rows.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("page", tagged(F.col("page"), F.col("content")).alias("t")))).alias("p"))
     return joined.select("doc_id", "group_no", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
 

@@ -43,17 +43,13 @@ def build_tree(sections: DataFrame, totals: DataFrame) -> DataFrame:
     Paths come from one fold over the parents of a document (a parent is listed before its
     children); a node's end is raised to the largest end below it by one grouped maximum.
     """
-    rows = parents(end_indices(sections, totals))
-    fields = ["ord", "parent_ord", "structure", "title", "start_index", "end_index"]
+    # by their places in the list, so that a parent is found by its place and not searched for
+    placed = end_indices(sections, totals).withColumnRenamed("ord", "own").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("own")))
+    rows = parents(placed)
+    fields = ["ord", "parent_ord", "own", "structure", "title", "start_index", "end_index"]
     per_doc = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    per_doc = per_doc.withColumn(
-        "paths",
-        F.expr("""
-        aggregate(s, cast(array() as array<struct<o:int,p:array<int>>>),
-          (a, x) -> array_append(a, named_struct('o', x.ord, 'p',
-            if(x.parent_ord is null, array(x.ord), array_append(filter(a, y -> y.o = x.parent_ord)[0].p, x.ord)))))"""),
-    )
-    nodes = per_doc.select("doc_id", F.inline(F.expr("transform(s, (x, i) -> named_struct('x', x, 'path', paths[i].p))"))).select("doc_id", "x.*", "path")
+    per_doc = per_doc.withColumn("paths", F.expr("aggregate(s, cast(array() as array<array<int>>), (a, x) -> array_append(a, if(x.parent_ord is null, array(cast(x.own as int)), array_append(a[x.parent_ord - 1], cast(x.own as int)))))"))
+    nodes = per_doc.select("doc_id", F.inline(F.expr("transform(s, (x, i) -> named_struct('x', x, 'path', paths[i]))"))).select("doc_id", F.col("x.own").alias("ord"), "x.structure", "x.title", "x.start_index", "x.end_index", "path")
     lowest = nodes.select("doc_id", F.explode("path").alias("ord"), "end_index").groupBy("doc_id", "ord").agg(F.max("end_index").alias("last"))
     nodes = nodes.join(lowest, ["doc_id", "ord"])
     return nodes.select(

@@ -371,7 +371,7 @@ def strip_ghosts(spark, d):
     text = F.concat(F.lit("[[concepts/x"), (F.col("doc_id") % 5).cast("string"), F.lit("]] [[concepts/x"), (F.col("doc_id") % 7).cast("string"), F.lit("]] [[summaries/"), F.col("doc_name"), F.lit("]]"))
     pages = docs.select("doc_id", F.lit(1).alias("gen_ord"), text.alias("content"))
     own = docs.select("doc_id", F.array(F.concat(F.lit("summaries/"), "doc_name")).alias("targets"))
-    shared = docs.filter("doc_id < 3").select(F.concat(F.lit("concepts/x"), F.col("doc_id").cast("string")).alias("target"))
+    shared = docs.select(F.concat(F.lit("concepts/x"), (F.col("doc_id") % 3).cast("string")).alias("target")).distinct()
     return C.strip_ghosts(pages, own, shared)
 
 
@@ -383,7 +383,7 @@ def concept_pages(spark, d):
 @query
 def concept_last_wins(spark, d):
     """Turns as pages of a conversation's concepts, named by role."""
-    rows = _turns(spark, d).select("doc_id", F.concat(F.lit("conv_"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("page").alias("gen_ord"), F.col("role").alias("slug"), F.substring("content", 1, 20).alias("brief"), "content")
+    rows = _turns(spark, d).select("doc_id", F.concat(F.lit("conv_"), F.col("doc_id").cast("string")).alias("doc_name"), F.col("page").alias("gen_ord"), F.col("role").alias("slug"), F.col("content").alias("brief"), "content")
     return C.last_wins(rows)
 
 
@@ -449,10 +449,12 @@ def backlink_concepts_missing(spark, d):
 
 @query
 def related_links(spark, d):
-    """The incremental writer's cross references on two concept pages of the test's own."""
+    """The incremental writer's cross references: a concept page for each document, related to by the next two documents."""
     docs = _docs(spark, d)
-    pages = docs.filter("doc_id < 2").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("slug"), F.when(F.col("doc_id") == 0, '---\nsources: ["summaries/doc_3.md"]\nbrief: "b"\n---\n\nbody [[summaries/doc_8]]').otherwise("plain body").alias("content"))
-    related = docs.filter("doc_id in (2, 3, 8)").select("doc_id", "doc_name", F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("slug"))
+    n, name = F.col("doc_id"), lambda k: F.concat(F.lit("summaries/doc_"), (F.col("doc_id") + k).cast("string"))
+    head = F.concat(F.lit('---\nsources: ["'), name(0), F.lit('.md"]\nbrief: "b"\n---\n\nbody [['), name(1), F.lit("]]"))
+    pages = docs.select(F.concat(F.lit("c"), n.cast("string")).alias("slug"), F.when(n % 2 == 0, head).otherwise("plain body").alias("content"))
+    related = docs.select("doc_id", "doc_name", F.explode(F.array(n - 1, n - 2)).alias("k")).select("doc_id", "doc_name", F.concat(F.lit("c"), F.col("k").cast("string")).alias("slug"))
     return wiki.see_also(pages, related)
 
 
@@ -469,8 +471,12 @@ def index_upsert(spark, d):
 def index_text(spark, d):
     docs = _described(spark, d).select("doc_name", F.col("doc_id").alias("first_seq"), F.col("description").alias("brief"))
     concepts = C.first_wins(C.last_wins(_concept_pages(spark, d)))
-    n = F.row_number().over(Window.partitionBy(F.length("slug") * 0).orderBy("slug"))
-    return wiki.index_text(docs, concepts.select("slug", n.alias("first_seq"), "brief"))
+    return wiki.index_text(docs, concepts.select("slug", (F.col("doc_id") * 100 + F.col("place")).alias("first_seq"), "brief"))
+
+
+@query
+def unified_entries(spark, d):
+    return wiki.unified_entries(_described(spark, d), C.first_wins(C.last_wins(_concept_pages(spark, d))))
 
 
 @query
@@ -511,7 +517,7 @@ def page_content(spark, d):
 
 @query
 def read_file(spark, d):
-    files = _docs(spark, d).select(F.concat(F.lit("summaries/"), "doc_name", F.lit(".md")).alias("path"), F.substring("text", 1, 50).alias("content"))
+    files = _docs(spark, d).select(F.concat(F.lit("summaries/"), "doc_name", F.lit(".md")).alias("path"), F.col("text").alias("content"))
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("summaries/"), "doc_name", F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "doc_name")).otherwise(F.concat(F.lit("concepts/"), "doc_name", F.lit(".md")))
     return A.read_file(_docs(spark, d).select(F.col("doc_id").alias("q_id"), path.alias("path")), files)
 
@@ -519,8 +525,9 @@ def read_file(spark, d):
 @query
 def list_files(spark, d):
     files = _docs(spark, d).select(F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string"), F.lit("/"), "doc_name", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".json")).alias("path"), F.lit("").alias("content"))
-    directory = F.concat(F.when(F.col("doc_id") == 6, "../").otherwise(""), F.lit("d"), F.col("doc_id").cast("string"))
-    return A.list_files(_docs(spark, d).filter("doc_id < 7").select(F.col("doc_id").alias("q_id"), directory.alias("directory")), files)
+    n = F.col("doc_id") % 7
+    directory = F.concat(F.when(n == 6, "../").otherwise(""), F.lit("d"), n.cast("string"))
+    return A.list_files(_docs(spark, d).select(F.col("doc_id").alias("q_id"), directory.alias("directory")), files)
 
 
 @query

@@ -216,6 +216,14 @@ SELECT doc_id, ord, structure, (SELECT max(p.ord) FROM o p WHERE p.doc_id = o.do
     "tree_end_index": rec(_CONV, "SELECT doc_id, ord, depth, tree_depth, start_index, end_index FROM nodes"),
     "tree_preorder": rec(_CONV, "SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS pre, ps AS path FROM nodes"),
     "tree_text": rec(_CONV, "SELECT doc_id, string_agg(repeat('  ', (tree_depth - 1)::INT) || repeat('#', (depth + 1)::INT) || ' ' || title || ' (pages ' || start_index || '–' || end_index || ')', chr(10) ORDER BY path) AS text FROM nodes GROUP BY 1"),
+    # chapters and the turns below them: two levels
+    "tree_json": rec(
+        _CONV,
+        """, leaf AS (SELECT doc_id, path[1] AS top, string_agg('{"title":' || to_json(title) || ',"start_index":' || start_index || ',"end_index":' || end_index || ',"depth":' || depth || ',"children":[]}', ',' ORDER BY path) AS below FROM nodes WHERE tree_depth = 2 GROUP BY 1, 2)
+SELECT n.doc_id, '[' || string_agg('{"title":' || to_json(title) || ',"start_index":' || start_index || ',"end_index":' || end_index || ',"depth":' || depth || ',"children":[' || coalesce(below, '') || ']}', ',' ORDER BY path) || ']' AS json FROM nodes n LEFT JOIN leaf ON leaf.doc_id = n.doc_id AND leaf.top = n.ord WHERE tree_depth = 1 GROUP BY 1""",
+    ),
+    # composed letters are all that the names have for the compatibility form to change
+    "slug_unicode": rf"WITH {TURNS}, n AS (SELECT doc_id, page, array_to_string(string_split(content, ' ')[1:3], ' ') AS name FROM turns) SELECT doc_id, page, name, coalesce(nullif(regexp_replace(regexp_replace(nfc_normalize(name), '[^\p{{L}}\p{{N}}_\-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unnamed-concept') AS slug FROM n",
     "large_nodes": rec(PAGES, "SELECT doc_id, '1' AS path, 1::BIGINT AS start_index, total_pages AS end_index FROM totals JOIN (SELECT doc_id, sum(tokens) AS n FROM tok GROUP BY 1) USING (doc_id) WHERE total_pages > 2 AND n >= 300"),
     "section_text": rec(_TREE + section_text(300), "SELECT doc_id, ps AS path, text FROM stext"),
     "section_summaries": rec(_SUMM, "SELECT doc_id, ps AS path, title, summary FROM summ"),
@@ -227,7 +235,7 @@ SELECT doc_id, ord, structure, (SELECT max(p.ord) FROM o p WHERE p.doc_id = o.do
     "strip_ghost_links": f"WITH {DOCS} SELECT doc_id, 'see concepts/' || doc_name || ' and ' || CASE WHEN doc_id % 2 = 0 THEN '[[concepts/b]]' ELSE 'concepts/b' END || ' or a|b and [[summaries/' || doc_name || ']]' AS text FROM docs",
     "strip_ghosts": f"WITH {DOCS}, x AS (SELECT *, 'concepts/x' || doc_id % 5 AS a, 'concepts/x' || doc_id % 7 AS b FROM docs) SELECT doc_id, 1::BIGINT AS gen_ord, CASE WHEN doc_id % 5 < 3 THEN '[[' || a || ']]' ELSE a END || ' ' || CASE WHEN doc_id % 7 < 3 THEN '[[' || b || ']]' ELSE b END || ' [[summaries/' || doc_name || ']]' AS content FROM x",
     "concept_pages": rec(DOCS + CONCEPTS, "SELECT * FROM cp"),
-    "concept_last_wins": f"WITH {TURNS} SELECT doc_id, 'conv_' || doc_id AS doc_name, role AS slug, min(page) AS place, substring(arg_max(content, page), 1, 20) AS brief, arg_max(content, page) AS content FROM turns GROUP BY doc_id, role",
+    "concept_last_wins": f"WITH {TURNS} SELECT doc_id, 'conv_' || doc_id AS doc_name, role AS slug, min(page) AS place, arg_max(content, page) AS brief, arg_max(content, page) AS content FROM turns GROUP BY doc_id, role",
     "concept_first_wins": rec(DOCS + CONCEPTS, "SELECT slug, doc_id, brief FROM fw"),
     "related_minus_concepts": rec(DOCS + CONCEPTS, "SELECT doc_id, pos, slug FROM want"),
     "document_index": rec(_ALL, f"SELECT doc_id, '# Knowledge Base Index' || chr(10) || chr(10) || '## Documents' || chr(10) || chr(10) || '- [[summaries/' || doc_name || ']] (pageindex) — ' || description || chr(10) || chr(10) || '## Concepts' || chr(10) || coalesce(l, '') AS index FROM descr LEFT JOIN (SELECT doc_id, chr(10) || string_agg('- [[concepts/' || slug || ']]' || {dash('brief')}, chr(10) ORDER BY slug) AS l FROM cp GROUP BY 1) USING (doc_id)"),
@@ -237,10 +245,13 @@ SELECT doc_id, ord, structure, (SELECT max(p.ord) FROM o p WHERE p.doc_id = o.do
     "wiki_targets": rec(DOCS + CONCEPTS, "SELECT DISTINCT 'concepts/' || slug AS target FROM cp UNION SELECT 'summaries/' || doc_name FROM docs"),
     "backlink_summary_missing": rec(DOCS + CONCEPTS, "SELECT doc_id, pos, slug FROM want WHERE NOT (doc_id % 2 = 0 AND slug = 'that')"),
     "backlink_concepts_missing": rec(DOCS + CONCEPTS, "SELECT DISTINCT w.slug, w.doc_id, d.doc_name FROM want w JOIN docs d USING (doc_id) JOIN fw f ON f.slug = w.slug WHERE NOT contains(f.content, '[[summaries/' || d.doc_name || ']]')"),
-    "related_links": """SELECT 'c0' AS slug, '---' || chr(10) || 'sources: ["summaries/doc_2.md", "summaries/doc_3.md"]' || chr(10) || 'brief: "b"' || chr(10) || '---' || chr(10) || chr(10) || 'body [[summaries/doc_8]]' || chr(10) || chr(10) || 'See also: [[summaries/doc_2]]' || chr(10) || chr(10) || 'See also: [[summaries/doc_3]]' AS content
-UNION ALL SELECT 'c1', '---' || chr(10) || 'sources: ["summaries/doc_8.md", "summaries/doc_3.md", "summaries/doc_2.md"]' || chr(10) || '---' || chr(10) || chr(10) || 'plain body' || chr(10) || chr(10) || 'See also: [[summaries/doc_2]]' || chr(10) || chr(10) || 'See also: [[summaries/doc_3]]' || chr(10) || chr(10) || 'See also: [[summaries/doc_8]]'""",
+    "related_links": f"""WITH {DOCS}, x AS (SELECT doc_id AS d, 'summaries/doc_' || doc_id AS n, doc_id % 2 = 0 AS even, (SELECT 'summaries/' || doc_name FROM docs e WHERE e.doc_id = docs.doc_id + 1) AS n1, (SELECT 'summaries/' || doc_name FROM docs e WHERE e.doc_id = docs.doc_id + 2) AS n2 FROM docs),
+y AS (SELECT d, CASE WHEN even THEN list_filter([n2, n], lambda v: v IS NOT NULL) ELSE list_filter([n2, n1], lambda v: v IS NOT NULL) END AS src, CASE WHEN even THEN list_filter([n2], lambda v: v IS NOT NULL) ELSE list_filter([n1, n2], lambda v: v IS NOT NULL) END AS see,
+  CASE WHEN even THEN 'body [[summaries/doc_' || (d + 1) || ']]' ELSE 'plain body' END AS body, even FROM x)
+SELECT 'c' || d AS slug, CASE WHEN len(src) = 0 THEN '' ELSE '---' || chr(10) || 'sources: [' || array_to_string(list_transform(src, lambda v: '"' || v || '.md"'), ', ') || ']' || chr(10) || CASE WHEN even THEN 'brief: "b"' || chr(10) ELSE '' END || '---' || chr(10) || chr(10) END || body || array_to_string(list_transform(see, lambda v: chr(10) || chr(10) || 'See also: [[' || v || ']]'), '') AS content FROM y""",
     "index_upsert": "SELECT 'user_' || user_id AS key, min(event_id) AS first_seq, coalesce(max(event_id) FILTER (WHERE TRUE), 0) AS last_seq, arg_max(event_type, event_id) AS brief FROM events GROUP BY 1",
-    "index_text": rec(_ALL, f"SELECT '# Knowledge Base Index' || chr(10) || chr(10) || '## Documents' || chr(10) || (SELECT string_agg('- [[summaries/' || doc_name || ']] (pageindex)' || {dash('description')} || chr(10), '' ORDER BY doc_id DESC) FROM descr) || chr(10) || '## Concepts' || chr(10) || (SELECT string_agg('- [[concepts/' || slug || ']]' || {dash('brief')} || chr(10), '' ORDER BY slug DESC) FROM fw) || chr(10) || '## Explorations' || chr(10) AS index"),
+    "index_text": rec(_ALL, f"SELECT '# Knowledge Base Index' || chr(10) || chr(10) || '## Documents' || chr(10) || (SELECT string_agg('- [[summaries/' || doc_name || ']] (pageindex)' || {dash('description')} || chr(10), '' ORDER BY doc_id DESC) FROM descr) || chr(10) || '## Concepts' || chr(10) || (SELECT string_agg('- [[concepts/' || slug || ']]' || {dash('brief')} || chr(10), '' ORDER BY doc_id * 100 + gen_ord DESC) FROM fw) || chr(10) || '## Explorations' || chr(10) AS index"),
+    "unified_entries": rec(_ALL, f"SELECT 0::BIGINT AS part, 0::BIGINT AS o, '' AS s, '# Knowledge Base Index' || chr(10) || chr(10) || '## Documents' || chr(10) AS line UNION ALL SELECT 2, 0, '', chr(10) || '## Concepts' || chr(10) UNION ALL SELECT 1, doc_id, '', '- [[summaries/' || doc_name || ']] (pageindex)' || {dash('description')} FROM descr UNION ALL SELECT 3, 0, slug, '- [[concepts/' || slug || ']]' || {dash('brief')} FROM fw"),
     "unified_index": rec(_ALL + UNIFIED, "SELECT index FROM uni"),
     "linked_concepts": rec(DOCS + CONCEPTS, f"SELECT f.slug, {linked('brief', '## Related Documents', 'b')} AS content FROM fw f LEFT JOIN (SELECT slug, string_agg('- [[summaries/doc_' || doc_id || ']]', chr(10) ORDER BY doc_id DESC) AS b FROM want GROUP BY 1) USING (slug)"),
     "wiki_files": rec(
@@ -257,8 +268,8 @@ UNION ALL SELECT 'index.md', index FROM uni""",
         """SELECT q_id, CASE WHEN q_id % 10 = 9 THEN 'nowhere' ELSE doc_name END AS doc_name, num.pages, CASE WHEN q_id % 10 = 9 THEN 'File not found: sources/nowhere.json' ELSE coalesce(t, 'No content found for pages ' || num.pages || ' in ' || doc_name || '.') END AS result
 FROM num LEFT JOIN (SELECT q_id, string_agg('[Page ' || page || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY page) || chr(10) || chr(10) AS t FROM (SELECT q_id, unnest(n) AS page FROM num) r JOIN pages p ON p.doc_id = r.q_id AND p.page = r.page GROUP BY 1) USING (q_id)""".replace("ORDER BY page", "ORDER BY p.page").replace("'[Page ' || page", "'[Page ' || p.page"),
     ),
-    "read_file": f"WITH {DOCS} SELECT doc_id AS q_id, CASE doc_id % 3 WHEN 0 THEN 'summaries/' || doc_name || '.md' WHEN 1 THEN '../' || doc_name ELSE 'concepts/' || doc_name || '.md' END AS path, CASE doc_id % 3 WHEN 0 THEN substring(text, 1, 50) WHEN 1 THEN 'Access denied: path escapes wiki root.' ELSE 'File not found: concepts/' || doc_name || '.md' END AS result FROM docs",
-    "list_files": f"WITH {DOCS} SELECT doc_id AS q_id, CASE WHEN doc_id = 6 THEN '../d6' ELSE 'd' || doc_id END AS directory, CASE WHEN doc_id = 6 THEN 'Access denied: path escapes wiki root.' ELSE coalesce((SELECT string_agg(f.doc_name || '.md', chr(10) ORDER BY f.doc_name || '.md') FROM docs f WHERE f.doc_id % 5 = docs.doc_id AND f.doc_id % 2 = 0), 'No files found.') END AS result FROM docs WHERE doc_id < 7",
+    "read_file": f"WITH {DOCS} SELECT doc_id AS q_id, CASE doc_id % 3 WHEN 0 THEN 'summaries/' || doc_name || '.md' WHEN 1 THEN '../' || doc_name ELSE 'concepts/' || doc_name || '.md' END AS path, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Access denied: path escapes wiki root.' ELSE 'File not found: concepts/' || doc_name || '.md' END AS result FROM docs",
+    "list_files": f"WITH {DOCS}, n AS (SELECT doc_id % 5 AS k, string_agg(doc_name || '.md', chr(10) ORDER BY doc_name || '.md') AS names FROM docs WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id AS q_id, CASE WHEN doc_id % 7 = 6 THEN '../d6' ELSE 'd' || doc_id % 7 END AS directory, CASE WHEN doc_id % 7 = 6 THEN 'Access denied: path escapes wiki root.' ELSE coalesce(names, 'No files found.') END AS result FROM docs LEFT JOIN n ON k = doc_id % 7",
     "fetched_pages": rec(DOCS + ", " + REQUESTS + NUMBERS + CITES, "SELECT * FROM fetched"),
     "cited_pages": rec(DOCS + ", " + REQUESTS + NUMBERS + CITES, "SELECT * FROM cited"),
     "unfetched_citations": rec(DOCS + ", " + REQUESTS + NUMBERS + CITES, "SELECT q_id, cite_pos, doc_name || ' p.' || string_agg(page::VARCHAR, ',' ORDER BY pos) AS citation FROM cited c WHERE NOT EXISTS (FROM fetched f WHERE f.q_id = c.q_id AND f.doc_name = c.doc_name AND f.page = c.page) GROUP BY q_id, cite_pos, doc_name"),
