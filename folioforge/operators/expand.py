@@ -37,7 +37,8 @@ def large_nodes(nodes: DataFrame, counts: DataFrame, config: TreeConfig) -> Data
     return large.select("doc_id", "path", "title", "start_index", "end_index")
 
 
-def _repair(found: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig, doc: str) -> DataFrame:
+def repair_by_rules(found: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig, doc: str) -> DataFrame:
+    """Sections checked and repaired by the rules; ``doc``: where they name the document of ``pages``."""
     return verify_and_fix(found, pages, totals, config, doc=doc)
 
 
@@ -61,7 +62,7 @@ def _children(large: DataFrame, pages: DataFrame, counts: DataFrame, totals: Dat
     return tree.select(F.col("doc_id.doc_id").alias("doc_id"), "ord", path.alias("path"), F.slice(path, 1, F.size(path) - 1).alias("parent_path"), F.size(path).alias("tree_depth"), "depth", "structure", "title", "start_index", "end_index")
 
 
-def expand_large_nodes(nodes: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig = TreeConfig(), counts: DataFrame | None = None, generate: Callable[..., DataFrame] = S.flat_sections, repair: Callable[..., DataFrame] = _repair) -> DataFrame:
+def expand_large_nodes(nodes: DataFrame, pages: DataFrame, totals: DataFrame, config: TreeConfig = TreeConfig(), counts: DataFrame | None = None, generate: Callable[..., DataFrame] = S.flat_sections, repair: Callable[..., DataFrame] = repair_by_rules) -> DataFrame:
     """Nodes with large leaves expanded, level by level.
 
     A list of siblings is worked on only if one of them is large; then the children of all

@@ -73,6 +73,20 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
+def outlines(nodes: DataFrame, docs: DataFrame, summary_chars: int = 120) -> DataFrame:
+    """(doc_id, outline) of documents (doc_id, doc_name, description, n_pages): a nested Markdown list of the sections, with the beginnings of their summaries.
+
+    Null and empty descriptions and summaries leave nothing; a document without nodes has its head only.
+    """
+    said = F.coalesce(F.col("summary"), F.lit(""))
+    brief = F.when(said == "", "").otherwise(F.concat(F.lit(": "), F.when(F.length(said) > summary_chars, F.concat(F.rtrim(F.substring(said, 1, summary_chars)), F.lit("…"))).otherwise(said)))
+    pages = F.when(F.col("start_index") == F.col("end_index"), F.format_string("p. %d", "start_index")).otherwise(F.format_string("pp. %d–%d", "start_index", "end_index"))
+    item = F.concat(F.lpad(F.lit("- "), F.col("tree_depth") * 2, " "), F.lit("**"), "title", F.lit("** ("), pages, F.lit(")"), brief)
+    lists = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", item.alias("item")))).alias("items")).select("doc_id", F.array_join(F.transform("items", lambda x: x["item"]), "\n").alias("list"))
+    head = F.concat(F.lit("# "), "doc_name", F.format_string(" (%d pages)", "n_pages"), F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.concat(F.lit("\n\n"), "description")).otherwise(""))
+    return docs.join(lists, "doc_id", "left").select("doc_id", F.concat(head, F.coalesce(F.concat(F.lit("\n\n"), "list"), F.lit(""))).alias("outline"))
+
+
 def node_json(nodes: DataFrame, summary_col: str | None = None) -> DataFrame:
     """(doc_id, json): the nested tree of each document; a summary appears only if it isn't empty.
 

@@ -334,6 +334,17 @@ def doc_description(spark, d):
     return _described(spark, d).select("doc_id", "description")
 
 
+@query
+def overview(spark, d):
+    return C.overview(_summarised(spark, d))
+
+
+@query
+def outline(spark, d):
+    docs = _described(spark, d).join(_totals(_kept_pages(spark, d)).withColumnRenamed("total_pages", "n_pages"), "doc_id")
+    return tree.outlines(_summarised(spark, d), docs)
+
+
 @query
 def sources_json(spark, d):
     return render.sources_json(_kept_pages(spark, d))

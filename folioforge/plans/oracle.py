@@ -228,6 +228,13 @@ SELECT n.doc_id, '[' || string_agg('{"title":' || to_json(title) || ',"start_ind
     "section_text": rec(_TREE + section_text(300), "SELECT doc_id, ps AS path, text FROM stext"),
     "section_summaries": rec(_SUMM, "SELECT doc_id, ps AS path, title, summary FROM summ"),
     "doc_description": rec(_SUMM, "SELECT doc_id, description FROM descr"),
+    "overview": rec(_SUMM, f"SELECT doc_id, array_to_string(list_filter(f[1:5], lambda x: x <> ''), ' ') AS overview FROM (SELECT doc_id, list({first('summary', 1)} ORDER BY path) AS f FROM summ WHERE tree_depth = 1 GROUP BY 1)"),
+    "outline": rec(
+        _SUMM,
+        """, items AS (SELECT doc_id, string_agg(repeat(' ', (2 * tree_depth - 2)::INT) || '- **' || title || '** (' || CASE WHEN start_index = end_index THEN 'p. ' || start_index ELSE 'pp. ' || start_index || '–' || end_index END || ')'
+  || CASE WHEN summary = '' THEN '' WHEN length(summary) > 120 THEN ': ' || rtrim(substring(summary, 1, 120), ' ') || '…' ELSE ': ' || summary END, chr(10) ORDER BY path) AS l FROM summ GROUP BY 1)
+SELECT d.doc_id, '# ' || doc_name || ' (' || total_pages || ' pages)' || CASE WHEN description <> '' THEN chr(10) || chr(10) || description ELSE '' END || coalesce(chr(10) || chr(10) || l, '') AS outline FROM descr d JOIN totals USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    ),
     "sources_json": rec(PAGES + SOURCES, "SELECT * FROM src"),
     "summary_md": rec(_SUMM + RENDERED, "SELECT * FROM smd"),
     "concept_plan": rec(DOCS + PLAN, "SELECT doc_id, doc_name, action, pos, name, title FROM plan"),

@@ -25,7 +25,8 @@ def test_build_ask_and_files(spark, tmp_path):
     out = engine.build_wiki(documents(spark), str(tmp_path / "wiki"), words_per_page=60)
     titles = [r["title"] for r in out.build.nodes.filter("doc_id = 1").orderBy("path").collect()]
     assert "Rivers" in titles and "Lakes" in titles
-    assert "Structure:" in engine.describe(out.build)
+    said = engine.describe(out.build)
+    assert said.startswith("# one (") and "\n- **Rivers** (pp. 1–" in said and "# two (" in said
     paths = {str(p.relative_to(tmp_path / "wiki")) for p in (tmp_path / "wiki").rglob("*.*") if not p.name.startswith(".")}
     assert {"index.md", "summaries/one.md", "sources/two.json"} <= paths
     index = (tmp_path / "wiki/index.md").read_text()
@@ -114,3 +115,84 @@ def test_build_with_a_model(spark):
     files = {r["path"]: r["content"] for r in out.files.collect()}
     assert "see [[concepts/gravel-bank]] and concepts/none" in files["concepts/gravel-bank.md"] and "concepts/Lake.md" in files
     server.shutdown()
+
+
+def test_documents_without_pages_have_a_section(spark):
+    docs = spark.createDataFrame([(1, "full", "Word one.\nMore of it, here."), (2, "empty", ""), (3, "none", None)], "doc_id bigint, doc_name string, text string")
+    out = WikiEngine(spark).build_wiki(docs)
+    assert sorted((r["doc_id"], r["title"], r["start_index"], r["end_index"]) for r in out.build.nodes.filter("doc_id > 1").collect()) == [(2, "empty", 1, 1), (3, "none", 1, 1)]
+    assert {r["doc_name"]: r["n_pages"] for r in out.build.docs.collect()} == {"full": 1, "empty": 0, "none": 0}
+    assert {"summaries/empty.md", "summaries/none.md"} <= {r["path"] for r in out.files.collect()}
+
+
+def test_two_builds_in_sequence(spark):
+    """An incremental build by hand: a page is updated, another one created anew, a third related to, a fourth left alone."""
+    head = lambda *sources: "---\nsources: [" + ", ".join(f'"summaries/{s}.md"' for s in sources) + ']\nbrief: "b"\n---\n\n'
+    existing = [
+        ("index.md", "# Knowledge Base Index\n\n## Documents\n- [[summaries/old]] (pageindex) — Old one\n\n## Concepts\n- [[concepts/lake]] — b\n- [[concepts/bank]] — b\n- [[concepts/reed]]\n- [[concepts/tide]] — b\n\n## Explorations\n"),
+        ("summaries/old.md", "old summary [[concepts/lake]]"),
+        ("concepts/lake.md", head("old") + "Old lake. [[summaries/old]]"),
+        ("concepts/bank.md", head("old") + "Old bank."),
+        ("concepts/reed.md", head("old") + "Old reed."),
+        ("concepts/tide.md", "no head"),
+    ]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = wiki.updated_files(
+        frame(existing, "path string, content string"),
+        frame([(7, "new", "New one")], "doc_id bigint, doc_name string, description string"),
+        frame([(7, "[]")], "doc_id bigint, sources string"),
+        frame([(7, "new", "new summary")], "doc_id bigint, doc_name string, summary_md string"),
+        frame([(7, "new", "bank", 1, "made", "Bank anew.", False), (7, "new", "lake", 2, "more", "New lake. [[summaries/new]]", True), (7, "new", "dam", 3, "", "A dam.", True)], "doc_id bigint, doc_name string, slug string, place int, brief string, content string, is_update boolean"),
+        frame([(7, "new", "related", 1, "reed", "Reed")], "doc_id bigint, doc_name string, action string, pos int, name string, title string"),
+        frame([(7, 1, "bank"), (7, 2, "lake"), (7, 3, "dam"), (7, 4, "reed")], "doc_id bigint, pos int, slug string"),
+    ).collect()
+    files = {r["path"]: r["content"] for r in got}
+    assert len(files) == len(got)
+    assert files == {
+        "index.md": "# Knowledge Base Index\n\n## Documents\n- [[summaries/new]] (pageindex) — New one\n- [[summaries/old]] (pageindex) — Old one\n\n## Concepts\n- [[concepts/dam]]\n- [[concepts/lake]] — more\n- [[concepts/bank]] — made\n- [[concepts/reed]]\n- [[concepts/tide]] — b\n\n## Explorations\n",
+        "sources/new.json": "[]",
+        "summaries/old.md": "old summary [[concepts/lake]]",
+        "summaries/new.md": "new summary\n\n## Related Concepts\n- [[concepts/bank]]\n- [[concepts/lake]]\n- [[concepts/dam]]\n- [[concepts/reed]]\n",
+        "concepts/lake.md": '---\nsources: ["summaries/new.md", "summaries/old.md"]\nbrief: "more"\n---\n\nNew lake. [[summaries/new]]',
+        "concepts/bank.md": '---\nsources: ["summaries/new.md"]\nbrief: "made"\n---\n\nBank anew.\n\n## Related Documents\n- [[summaries/new]]\n',
+        "concepts/dam.md": '---\nsources: ["summaries/new.md"]\nbrief: ""\n---\n\nA dam.\n\n## Related Documents\n- [[summaries/new]]\n',
+        # named by the related link, so no bullet is added
+        "concepts/reed.md": head("new", "old") + "Old reed.\n\nSee also: [[summaries/new]]",
+        "concepts/tide.md": "no head",
+    }
+
+
+def test_a_second_build_goes_on_with_the_folder(spark, tmp_path):
+    folder = str(tmp_path / "wiki")
+    engine = WikiEngine(spark)
+    first = documents(spark)
+    engine.build_wiki(first.filter("doc_id = 1"), folder, words_per_page=60)
+    engine.build_wiki(first.filter("doc_id = 2"), folder, words_per_page=60)
+    index = (tmp_path / "wiki/index.md").read_text()
+    assert index.index("summaries/two") < index.index("summaries/one")
+    gravel = (tmp_path / "wiki/concepts/gravel.md").read_text()
+    assert gravel.startswith('---\nsources: ["summaries/two.md", "summaries/one.md"]')
+    assert (tmp_path / "wiki/summaries/one.md").exists() and (tmp_path / "wiki/sources/one.json").exists()
+
+
+def test_ask_a_model(spark):
+    def reply(prompt: str) -> str:
+        if "never fetched: two p.9" in prompt:
+            return "The pond holds water. \\source{two, p.1}"
+        if "Question: pond" in prompt:
+            if "get_page_content {" in prompt:
+                return json.dumps({"answer": "The pond. \\source{two, p.1} \\source{two, p.9}"})
+            if "read_file {" in prompt:
+                return "Let me see. " + json.dumps({"tool": "get_page_content", "args": {"doc_name": "two", "pages": "1-2"}})
+            return json.dumps({"tool": "read_file", "args": {"path": "summaries/two.md"}})
+        if "Finish now" in prompt:
+            return "No idea."
+        return json.dumps({"tool": "list_wiki_files", "args": {"directory": "summaries"}})
+
+    out = WikiEngine(spark).build_wiki(documents(spark), words_per_page=60)
+    server, url = serve(reply)
+    engine = WikiEngine(spark, backend=HttpBackend("m", url))
+    questions = spark.createDataFrame([(1, "pond"), (2, "what else")], "q_id bigint, question string")
+    got = {r["q_id"]: (r["answer"], list(r["unfetched"])) for r in engine.ask(out.build, questions, compiled=out).collect()}
+    assert got == {1: ("The pond holds water. \\source{two, p.1}", ["two p.9"]), 2: ("No idea.", [])}
+    server.shutdown()
