@@ -372,7 +372,9 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     ws.drop(sets, member, reps)
     # the least id of each component; a class without links stands for itself
     linked = classes.join(labels, "id")
-    names = linked.groupBy("component").agg(F.min("rep").alias("c"))
+    names = ws.save(linked.groupBy("component").agg(F.min("rep").alias("c")), "least")
+    # sent out where it can be: a shuffle by component would put a large one into one task
+    names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
     named = ws.save(classes.join(linked.join(names, "component").select("id", "c"), "id", "left").select("key", F.coalesce("c", "rep").alias("c")), "names")
     out = found.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
