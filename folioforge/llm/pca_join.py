@@ -46,6 +46,8 @@ SAMPLE = 4096
 BLOCK_BYTES = 1 << 24  # of vectors in a block at most
 LEAST_BLOCK = 2048  # vectors, unless that is more than a block may have
 STRIP = 512
+#: Lists of components up to this many (16 bytes each) are sent to every executor; longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 BOX = 8
 LEVELS = 10  # of the splitting tree at most: 2**10 regions, so 2**20 pairs of regions
 SLACK = 1e-12
@@ -297,7 +299,9 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), ws).withColumnRenamed("id", "rep")
     linked = classes.select("rep", "least").join(labels, "rep")
-    least = linked.join(linked.groupBy("component").agg(F.min("least").alias("c")), "component").select("rep", "c")
+    least = ws.save(linked.groupBy("component").agg(F.min("least").alias("c")), "least")
+    # sent out where it can be: a shuffle by component would put a large one into one task
+    least = linked.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "component").select("rep", "c")
     named = classes.join(links, "rep", "left").join(least, "rep", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     out = turned.select("vec_id", "digest").join(named, "digest", "left")
     known = F.col("vec_id").isNotNull()
