@@ -1,10 +1,30 @@
-"""folioforge: a Spark-native engine that turns documents into a cross-linked, cited wiki."""
+"""folioforge: a Spark-native engine that turns documents into a cross-linked, cited wiki.
 
-from folioforge.config import TreeConfig
-from folioforge.operators.wiki import save_files, unified_index, wiki_files
-from folioforge.plans.backends import HttpBackend
-from folioforge.plans.engine import Build, Wiki, WikiEngine
-from folioforge.sources.pages import from_text, from_texts, read_binary, read_text_files
+Names are loaded when they are first used: the workers of a single operator need not hold the whole engine.
+"""
+
+from importlib import import_module
 
 __version__ = "0.1.0"
-__all__ = ["Build", "HttpBackend", "TreeConfig", "Wiki", "WikiEngine", "from_text", "from_texts", "read_binary", "read_text_files", "save_files", "unified_index", "wiki_files"]
+_HOME = {
+    "Build": "plans.engine",
+    "HttpBackend": "plans.backends",
+    "TreeConfig": "config",
+    "Wiki": "plans.engine",
+    "WikiEngine": "plans.engine",
+    "from_text": "sources.pages",
+    "from_texts": "sources.pages",
+    "get_logger": "log",
+    "read_binary": "sources.pages",
+    "read_text_files": "sources.pages",
+    "save_files": "operators.wiki",
+    "unified_index": "operators.wiki",
+    "wiki_files": "operators.wiki",
+}
+__all__ = sorted(_HOME)
+
+
+def __getattr__(name: str):
+    if name not in _HOME:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_HOME[name]}"), name)
