@@ -1,6 +1,6 @@
 """Arrow batches of texts, in slices of bounded size, as numpy arrays.
 
-Operators that run in Python get whole texts here, a few megabytes at a time,
+Operators that run in Python get whole texts here, half a megabyte at a time,
 so that a worker's memory does not depend on how many rows Spark puts in a batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -41,7 +41,7 @@ class Fit:
 
     rows_per_language: int = 600
     max_rows: int = 20_000  # of all languages together, but one of each at least
-    max_chars: int = 6_000  # of a longer text as many from a place that its id decides
+    max_chars: int = 2_000  # of a longer text as many from a place that its id decides
     window: int = 160  # each sampled text is also shown by windows of this many characters
     windows: int = 3
     epochs: int = 6
@@ -92,7 +92,8 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for t in texts:
         points, offsets, _ = normal_points([t], digits=False)
         at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
-        out.append(np.unique(at[at < 1 << BITS], return_counts=True))
+        own, times = np.unique(at[at < 1 << BITS], return_counts=True)
+        out.append((own.astype(np.int32), times.astype(np.float32)))
     return out
 
 
@@ -124,7 +125,7 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     for _ in range(fit.epochs):
         for i in rng.permutation(len(data)):
             at, many = data[i]
-            weight = (many / many.sum()).astype(np.float32)
+            weight = many / many.sum()
             x = weight @ e[at]
             z = x @ w + b
             p = np.exp(z - z.max())
@@ -144,7 +145,8 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
     model = Model(languages, np.ascontiguousarray(table), layer, b, known, 1.0, 0.0, 0.0)
     if not calibration:
         return model
-    z, share, _ = logits(model, [t for t, _ in calibration])
+    some = [logits(model, [t for t, _ in calibration[i : i + 200]]) for i in range(0, len(calibration), 200)]
+    z, share = (np.concatenate([x[k] for x in some]) for k in (0, 1))
     truth = np.array([number[g] for _, g in calibration])
 
     def nll(t: float) -> float:
@@ -186,10 +188,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score, rejected) of every row, after the columns named in ``keep``."""
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, lang_col, fit), fit))
 
+    # a text that is kept isn't sent to Python twice
+    told, gone = (text_col, ()) if text_col in keep else ("_text", ("_text",))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a, b, texts in text_slices(batch, "_text"):
+            for a, b, texts in text_slices(batch, told):
                 texts = texts.to_pylist()
                 pred, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if m is not None:
@@ -200,9 +205,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     pred = [m.languages[k] if y else UNKNOWN for k, y in zip(best, has, strict=True)]
                     score = np.where(has, p.max(axis=1), 0.0)
                     out = ~has | (score < m.least) | (share < m.least_known)
-                rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns) if batch.schema.names[c] != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*(c for c in batch.schema.names if c != "_text"), "lang_pred", "score", "rejected"])
+                rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns) if batch.schema.names[c] not in gone]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*(c for c in batch.schema.names if c not in gone), "lang_pred", "score", "rejected"])
 
-    narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text")
+    narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name not in gone)
     return narrow.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")

@@ -156,15 +156,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts, y = sample(docs, labels, id_col, text_col, label_col, fit)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, y, fit))
 
+    # a text that is kept isn't sent to Python twice
+    told, gone = (text_col, ()) if text_col in keep else ("_text", ("_text",))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a, b, part in text_slices(batch, "_text"):
+            for a, b, part in text_slices(batch, told):
                 part = part.to_pylist()
                 s = scores(m, part) if m is not None else np.zeros(len(part))
-                rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns) if batch.schema.names[c] != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*(c for c in batch.schema.names if c != "_text"), "score", "predicted"])
+                rest = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns) if batch.schema.names[c] not in gone]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*(c for c in batch.schema.names if c not in gone), "score", "predicted"])
 
-    narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_text")
+    narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name not in gone)
     return narrow.mapInArrow(run, f"{kept}, score double, predicted int")
