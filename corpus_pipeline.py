@@ -33,20 +33,25 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _as_rows(docs: DataFrame) -> DataFrame:
-    """The columns that operators read, and each whole row as one column: no column of documents can clash with theirs."""
-    return docs.select("doc_id", "text", "lang", F.struct("*").alias("row"))
+    """The columns that operators read, and the others of each row as one column: none of documents can clash with theirs, and no text goes to Python twice."""
+    return docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (text, row) with the columns of ``docs`` again."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents scored 0.5 or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(_as_rows(docs), labels, keep=("row",))
-    return scored.filter(F.col("predicted") == 0).select("row.*")
+    scored = toxicity.score_toxicity(_as_rows(docs), labels, keep=("row", "text"))
+    return _as_documents(scored.filter(F.col("predicted") == 0), docs)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without letters, or below the calibrated limits for every language, go."""
-    return language_id.identify(_as_rows(docs), keep=("row",)).filter(~F.col("rejected")).select("row.*")
+    return _as_documents(language_id.identify(_as_rows(docs), keep=("row", "text")).filter(~F.col("rejected")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
