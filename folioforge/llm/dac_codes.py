@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import PieceBytes, PieceEncoder, encoding
-from folioforge.llm.columns import text_slices
+from folioforge.llm.columns import giving_back, text_slices
 from folioforge.llm.workspace import Workspace
 
 MAGIC = b"FDAC"
@@ -208,8 +208,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, ws: Wor
         if held:
             yield flush()
 
-    rows = narrow.mapInArrow(encode, "deal int, bucket int, doc_id bigint, ids binary").repartition(n, "deal").sortWithinPartitions("bucket", "doc_id", "ids")
-    files = ws.save(rows.mapInArrow(images, "bucket int, start bigint, n_ids bigint, image binary"), "token-files")
+    rows = narrow.mapInArrow(giving_back(encode), "deal int, bucket int, doc_id bigint, ids binary").repartition(n, "deal").sortWithinPartitions("bucket", "doc_id", "ids")
+    files = ws.save(rows.mapInArrow(giving_back(images), "bucket int, start bigint, n_ids bigint, image binary"), "token-files")
     totals = {r["bucket"]: r["n"] for r in files.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}
     before = np.concatenate([[0], np.cumsum([totals.get(k, 0) for k in range(len(bounds) + 1)])]).astype(np.int64).tolist()
     return files.select("bucket", "start", "image"), before
@@ -227,4 +227,4 @@ def read_documents(files: DataFrame, before: list[int]) -> DataFrame:
                 crcs = [zlib.crc32(image.document(d).astype("<u4")) for d in range(len(starts))]
                 yield pa.RecordBatch.from_arrays([pa.array(image.doc_ids, pa.int64()), pa.array(starts + first), pa.array(image.ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(giving_back(decode), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

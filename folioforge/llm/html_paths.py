@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.columns import text_slices
+from folioforge.llm.columns import giving_back, text_slices
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[/a-zA-Z][^<>]*+\Z""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -318,4 +318,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    return narrow.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint")
+    return narrow.mapInArrow(giving_back(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.columns import text_slices
+from folioforge.llm.columns import give_back, giving_back, text_slices
 from folioforge.llm.grams import gram_buckets, normal_points
 
 UNKNOWN = "und"
@@ -86,15 +86,26 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fit: Fit)
     return list(zip(top.column("piece").to_pylist(), top.column("g").to_pylist(), strict=True))
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, how often) of each text."""
-    out = []
-    for t in texts:
-        points, offsets, _ = normal_points([t], digits=False)
-        at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
-        own, times = np.unique(at[at < 1 << BITS], return_counts=True)
-        out.append((own.astype(np.int32), times.astype(np.float32)))
-    return out
+class Bags:
+    """The distinct buckets of many texts and how often each occurs, a number for both: 4 bytes where that will do."""
+
+    def __init__(self, texts: list[str]) -> None:
+        most = len(SIZES) * (max(map(len, texts), default=0) + 2)
+        kind = np.uint32 if most < 1 << (32 - BITS) else np.uint64
+        self._kind, self._bags = kind, []
+        for t in texts:
+            points, offsets, _ = normal_points([t], digits=False)
+            at = np.concatenate([gram_buckets(points, offsets, n, BITS) for n in SIZES])
+            own, times = np.unique(at[at < 1 << BITS], return_counts=True)
+            self._bags.append(own.astype(kind) | times.astype(kind) << kind(BITS))
+
+    def __len__(self) -> int:
+        return len(self._bags)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, how often) of one text."""
+        both = self._bags[k]
+        return (both & self._kind((1 << BITS) - 1)).astype(np.int32), (both >> self._kind(BITS)).astype(np.float32)
 
 
 def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
@@ -116,7 +127,8 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
         else:
             texts += parts
             labels += [number[g]] * len(parts)
-    data = bags(texts)
+    data = Bags(texts)
+    del texts
     size, n = 1 << BITS, len(languages)
     e = rng.normal(0, 1 / DIM, (size + 1, DIM)).astype(np.float32)
     e[size] = 0
@@ -139,8 +151,8 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model | None:
             e[at] -= rate * np.sqrt(weight)[:, None] * back
             done += 1
     known = np.zeros(size + 1, bool)
-    for at, _ in data:
-        known[at] = True
+    for i in range(len(data)):
+        known[data[i][0]] = True
     table, layer = (e @ w, None) if n <= DIM else (e, w)
     model = Model(languages, np.ascontiguousarray(table), layer, b, known, 1.0, 0.0, 0.0)
     if not calibration:
@@ -187,6 +199,7 @@ def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit: Fit = Fit(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row, after the columns named in ``keep``."""
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, lang_col, fit), fit))
+    give_back()
 
     # a text that is kept isn't sent to Python twice
     told, gone = (text_col, ()) if text_col in keep else ("_text", ("_text",))
@@ -210,4 +223,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name not in gone)
-    return narrow.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")
+    return narrow.mapInArrow(giving_back(run), f"{kept}, lang_pred string, score double, rejected boolean")

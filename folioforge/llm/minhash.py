@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.columns import text_slices, utf8
+from folioforge.llm.columns import giving_back, text_slices, utf8
 from folioforge.llm.components import connected_components
 from folioforge.llm.workspace import Workspace
 
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     least = least_match(percent)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = ws.save(texts.mapInArrow(lambda it: _features(it, k), "doc_id bigint, n bigint, key binary, sig binary, bands array<bigint>"), "features")
+    found = ws.save(texts.mapInArrow(giving_back(lambda it: _features(it, k)), "doc_id bigint, n bigint, key binary, sig binary, bands array<bigint>"), "features")
     # the numbers of the classes are fixed once they are written
     classes = found.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     ids = ws.save(member.select("id").distinct().join(reps.select("id", "rep", "key"), "id"), "candidates")
     few = ids.count() <= BROADCAST_IDS
     source = texts.withColumnRenamed("doc_id", "rep").join(F.broadcast(ids) if few else ids, "rep").select("id", "key", "text")
-    sets = ws.save(source.mapInArrow(lambda it: _sets(it, k), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    sets = ws.save(source.mapInArrow(giving_back(lambda it: _sets(it, k)), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
     sigs = reps.select("id", "sig")
 
     def with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,15 +360,15 @@ def near_duplicates(docs: DataFrame, ws: Workspace, k: int = 5, percent: int = 8
     # (b) the other least classes
     rest = with_labels(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
     rest = rest.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    rest = ws.save(rest.mapInArrow(lambda it: _similar(it, least), "a bigint, b bigint"), "pairs-b")
+    rest = ws.save(rest.mapInArrow(giving_back(lambda it: _similar(it, least)), "a bigint, b bigint"), "pairs-b")
     labels = joined(labels, ws.save(_confirm(rest, sets, percent), "links-b"), "labels-b")
     # (c) between the components that are left in a bucket
     named = member.join(labels, "id", "left").select("bucket", "band_no", "id", F.coalesce("component", "id").alias("label"))
     tile = _tiles(named).join(reps.select("id", "sig", "bands"), "id").select(*TILE_KEYS, "band_no", "id", "label", "block", "sig", "bands")
     kind = "bucket bigint, left bigint, right bigint, band_no int, id bigint, label bigint, block bigint, sig binary, bands array<bigint>"
-    active = ws.save(tile.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id").mapInArrow(lambda it: _active(it, least), kind), "active")
+    active = ws.save(tile.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id").mapInArrow(giving_back(lambda it: _active(it, least)), kind), "active")
     full = active.join(sets, "id").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS, "id")
-    labels = joined(labels, ws.save(full.mapInArrow(lambda it: _tile_links(it, least, percent), "u bigint, v bigint"), "links-c"), "labels-c")
+    labels = joined(labels, ws.save(full.mapInArrow(giving_back(lambda it: _tile_links(it, least, percent)), "u bigint, v bigint"), "links-c"), "labels-c")
     ws.drop(sets, member, reps)
     # the least id of each component; a class without links stands for itself
     linked = classes.join(labels, "id")

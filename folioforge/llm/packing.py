@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.columns import giving_back
 from folioforge.llm.workspace import Workspace
 
 GROUP = 100_000
@@ -167,4 +168,4 @@ def pack(lengths: DataFrame, ws: Workspace, sizes: tuple[int, ...] = (512, 1024,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "piece_start", "length")), pa.array(number), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32))], ["doc_id", "piece", "piece_start", "length", "bin_id", "bin_size", "bin_offset"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece bigint, piece_start bigint, length int, bin_id bigint, bin_size int, bin_offset int")
+    return ranked.mapInArrow(giving_back(run), f"doc_id {kind}, piece bigint, piece_start bigint, length int, bin_id bigint, bin_size int, bin_offset int")

@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.columns import giving_back
 from folioforge.llm.components import connected_components
 from folioforge.llm.workspace import Workspace
 
@@ -244,7 +245,7 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(region, pa.int32()), *(pa.array(np.ascontiguousarray(box[:, k])) for k in range(BOX))], ["vec_id", "digest", "x", "region", *(f"c{k}" for k in range(BOX))])
 
     boxes = ", ".join(f"c{k} double" for k in range(BOX))
-    turned = ws.save(rows.mapInArrow(turn, f"vec_id bigint, digest binary, x binary, region int, {boxes}"), "turned")
+    turned = ws.save(rows.mapInArrow(giving_back(turn), f"vec_id bigint, digest binary, x binary, region int, {boxes}"), "turned")
     good = turned.filter("vec_id is not null and digest is not null")
     # the numbers of the classes are fixed once they are written
     classes = good.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
@@ -294,7 +295,7 @@ def similar_vectors(table: DataFrame, ws: Workspace, threshold: float = 0.9, id_
         if held is not None:
             yield done(held.combine_chunks())
 
-    pairs = work.repartition(*keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(solve, "rep bigint, n bigint, root bigint")
+    pairs = work.repartition(*keys).sortWithinPartitions(*keys, "side", "rep").mapInArrow(giving_back(solve), "rep bigint, n bigint, root bigint")
     found = ws.save(pairs, "links")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     labels = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), ws).withColumnRenamed("id", "rep")

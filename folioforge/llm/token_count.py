@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import PieceCounts, PieceEncoder, counting
-from folioforge.llm.columns import text_slices
+from folioforge.llm.columns import giving_back, text_slices
 
 
 def count_tokens(encoder: PieceEncoder, counts: PieceCounts, text: str) -> int:
@@ -54,4 +54,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return narrow.mapInArrow(giving_back(run), f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")

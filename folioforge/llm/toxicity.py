@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.columns import text_slices
+from folioforge.llm.columns import give_back, giving_back, text_slices
 from folioforge.llm.grams import gram_buckets, normal_points
 from folioforge.llm.language_id import held_out
 
@@ -89,7 +89,7 @@ def train(texts: pa.Array, y: np.ndarray, fit: Fit) -> Model | None:
 
     def slices() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         # made again rather than kept: all n-grams of the sample would not fit a small driver
-        for a, _, part in text_slices(pa.record_batch([texts], ["t"]), "t", 1 << 16):  # short enough to be sorted in the cache
+        for a, _, part in text_slices(pa.record_batch([texts], ["t"]), "t"):
             yield a, *distinct_grams(part.to_pylist())
 
     p, q = np.zeros(size, np.int32), np.zeros(size, np.int32)
@@ -115,7 +115,7 @@ def train(texts: pa.Array, y: np.ndarray, fit: Fit) -> Model | None:
     ends = np.concatenate([[0], np.cumsum(counts)])
     # texts in runs of about a million features, so that what is made of them stays small
     cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20)), [len(y)]]))
-    runs = [(i, j, col[ends[i] : ends[j]], np.repeat(np.arange(j - i), counts[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
+    runs = [(i, j, col[ends[i] : ends[j]], np.repeat(np.arange(j - i, dtype=np.int32), counts[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
     # accelerated gradient descent on the mean logistic loss; the step follows from the mean square of a text
     norm = sum((r[c] ** 2).sum() for _, _, c, _ in runs) / len(y) + 1
     w, b = np.zeros(len(chosen)), float(np.log(toxic / other))
@@ -153,8 +153,8 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit: Fit = Fit(), keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, after the columns named in ``keep``."""
-    texts, y = sample(docs, labels, id_col, text_col, label_col, fit)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, fit))
+    model = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, id_col, text_col, label_col, fit), fit))
+    give_back()
 
     # a text that is kept isn't sent to Python twice
     told, gone = (text_col, ()) if text_col in keep else ("_text", ("_text",))
@@ -170,4 +170,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     narrow = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id" if "doc_id" not in keep else "_id"), held_out(F.col(id_col)).alias("held_out"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name not in gone)
-    return narrow.mapInArrow(run, f"{kept}, score double, predicted int")
+    return narrow.mapInArrow(giving_back(run), f"{kept}, score double, predicted int")
