@@ -26,16 +26,6 @@ from folioforge.llm.workspace import Workspace
 #: Lists of rows up to this many (16 bytes each) are sent to every executor; longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
-#: Rows that go to Python at once, unless the session has a number of its own. Spark holds such a batch outside the
-#: heap, twice while it grows; its usual 10,000 rows of whole texts are tens of megabytes for each task.
-BATCH_ROWS = 1_000
-
-
-def _bound_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_ROWS)
-
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents of ``rows`` (key, row) whose key isn't among ``gone`` (a saved table of one column)."""
@@ -54,7 +44,6 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents scored 0.5 or more go."""
-    _bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(_as_rows(docs), labels, keep=("row", "text"))
     return _as_documents(scored.filter(F.col("predicted") == 0), docs)
@@ -62,13 +51,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents without letters, or below the calibrated limits for every language, go."""
-    _bound_batches(spark)
     return _as_documents(language_id.identify(_as_rows(docs), keep=("row", "text")).filter(~F.col("rejected")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group of near-duplicates the document with the least id stays."""
-    _bound_batches(spark)
     ws = Workspace(spark, "pipeline-near")
     # the rows' numbers are fixed once they are written
     rows = ws.save(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "rows")
@@ -93,7 +80,6 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: token counts, then best-fit packing; one row per piece of a document."""
-    _bound_batches(spark)
     counted = token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(counted, Workspace(spark, "pipeline-pack"))
 
