@@ -47,10 +47,15 @@ class Workspace:
         atexit.register(self._remove, self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back."""
+        """Write ``df`` and return it as read back.
+
+        Without the empty file that marks a finished write: nothing reads it, and without Hadoop's native
+        library the driver starts processes to set that file's permissions, which while they start share,
+        and count as, its whole memory.
+        """
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._folio_path = path
         return out
