@@ -39,3 +39,13 @@ def test_numbers_of_headings(spark):
     lines = ["# A b", "2.10.3 Deep " + "w " * 9, "7. Last " + "w " * 9, "0997523947200283 | no " + "w " * 9, "20.118.157.107 no " + "w " * 9, "1.2.3.4 Fourth", "98.128.108.35 Short"]
     got = spark.range(1).select(sections.headings(F.lit("\n".join(lines))).alias("h")).head()["h"]
     assert [(h["level"], " ".join(h["title"].split()[:1])) for h in got] == [(1, "A"), (3, "Deep"), (1, "Last"), (4, "Fourth"), (1, "98.128.108.35")]
+
+
+@pytest.mark.parametrize("name", ["flat_sections", "flat_sections_grouped", "fallback_sections", "preface", "section_summaries", "outline", "summary_md"])
+def test_white_space_of_headings_as_in_sql(spark, tmp_path, name):
+    texts = ["Start\r\n" + "w " * 120 + "\r\nTwo words \r\n\tThree\t\nend.", "x\na\u00a0b c d e f g\nx " + "w " * 9, "x\none\u3000\nx\n\u00a0\nx"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)), db.sql(catalog.ORACLE_SQL[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
